@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Stands for a delimiter while pieces are joined; three characters that no text has in this order.
+BLANKS = " \t\r\n\f\u000b\u00a0\u2002\u2003\u2009\u3000"
 HARD, SOFT = "\u0001\u0002\u0001", "\u0001\u0003\u0001"
 
 
@@ -63,13 +64,16 @@ def _marked(field: Column, packing: Packing) -> Column:
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def _unwrap(c: Column) -> Column:
     """Without enclosing quotes, doubled inner quotes made single."""
     v = _trim(c)
-    return F.when(v.rlike(r'(?s)^"(?:[^"]|"")*"$'), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v)
+    inner = F.substring(v, F.lit(2), F.length(v) - 2)
+    # no regular expression over the whole value: its repeated groups would overflow the stack on long values
+    wrapped = v.startswith('"') & v.endswith('"') & (F.length(v) > 1) & ~F.contains(F.replace(inner, F.lit('""'), F.lit("")), F.lit('"'))
+    return F.when(wrapped, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(v)
 
 
 def _nonempty(values: Column) -> Column:
