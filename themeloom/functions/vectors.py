@@ -87,7 +87,7 @@ def normalise(a: Column, to: float = 1.0) -> Column:
 
 
 def kl(p: Column, q: Column) -> Column:
-    return _fold(F.zip_with(p, q, kl_term), lambda x: x)
+    return _fold(F.zip_with(p, q, lambda x, y: kl_term(x, y)), lambda x: x)
 
 
 def symmetric_kl(p: Column, q: Column) -> Column:

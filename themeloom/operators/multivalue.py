@@ -86,7 +86,7 @@ def _join_names(parts: Column) -> Column:
 
     def step(acc: Column, part: Column) -> Column:
         held, done = acc["held"], acc["done"]
-        joins = held.isNotNull() & held.rlike(_FAMILY) & part.rlike(_GIVEN) & ~part.contains('"')
+        joins = held.isNotNull() & held.rlike(_FAMILY) & part.rlike(_GIVEN) & ~part.contains('"') & ~held.contains('"')
         return F.when(joins, F.struct(F.concat(done, F.array(F.concat(held, F.lit(", "), part))).alias("done"), F.lit(None).cast("string").alias("held"))).otherwise(
             F.struct(F.when(held.isNull(), done).otherwise(F.concat(done, F.array(held))).alias("done"), part.alias("held"))
         )

@@ -93,6 +93,15 @@ def _sweep_shard(frame: pd.DataFrame, counts: dict[int, np.ndarray], n_terms: in
     return frame.assign(k=out)
 
 
+def _shard_runner(sent, n_terms: int, b0: float, seed: int, it: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        counts, weights, alpha = sent.value
+        rng = R.generator(seed, it, int(frame["shard"].iloc[0]) + 1)
+        return _sweep_shard(frame, counts, n_terms, b0, alpha, weights, rng)[["doc_id", "corpus", "pos", "w", "k", "shard"]]
+
+    return run
+
+
 def _table_counts(rng, rows, weights, alpha, crp) -> dict:
     """Tables by (corpus, k) from (corpus, k, n, documents with that n)."""
     tables: dict = {}
@@ -127,13 +136,8 @@ def fit_topics(tokens: DataFrame, n_terms: int, p: TopicParams, shared: bool = T
             counts[r["k"]][r["w"]] = r["n"]
         sent = spark.sparkContext.broadcast((counts, local, alpha))
 
-        def run(frame: pd.DataFrame, sent=sent, it=it) -> pd.DataFrame:
-            shard = int(frame["shard"].iloc[0])
-            c, b, a = sent.value
-            return _sweep_shard(frame, c, n_terms, p.b0, a, b, R.generator(p.seed, it, shard + 1))[["doc_id", "corpus", "pos", "w", "k", "shard"]]
-
         shard = F.pmod(F.xxhash64(F.lit(p.seed), "doc_id"), F.lit(shards)).cast("int")
-        swept = cut(current.withColumn("shard", shard).groupBy("shard").applyInPandas(run, schema))
+        swept = cut(current.withColumn("shard", shard).groupBy("shard").applyInPandas(_shard_runner(sent, n_terms, p.b0, p.seed, it), schema))
         born = [(r["shard"], r["k"]) for r in swept.where("k < 0").select("shard", "k").distinct().orderBy("shard", F.desc("k")).collect()]
         if born:
             table = spark.createDataFrame([(s, k, following + i) for i, (s, k) in enumerate(born)], "shard int, k bigint, to bigint")
