@@ -34,8 +34,8 @@ def component_sizes(assign: DataFrame, *keys: str) -> DataFrame:
 
 
 def members(assign: DataFrame) -> DataFrame:
-    """(k, doc_id, member_no): members in the order of ids, as rows; a cluster is never gathered into one value."""
-    return assign.select("k", "doc_id", F.row_number().over(Window.partitionBy("k").orderBy("doc_id")).alias("member_no"))
+    """(k, doc_id): members as rows; a cluster is never gathered into one value or one task."""
+    return assign.select("k", "doc_id")
 
 
 def top_terms(counts: DataFrame, keys: list[str], top: int, n: str = "n_kw") -> DataFrame:

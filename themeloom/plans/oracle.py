@@ -95,7 +95,7 @@ ORACLE = {
     "kfold_mod": "SELECT doc_id, CAST(doc_id % 10 AS INTEGER) AS fold FROM documents",
     "parse_labelled_records": r"""SELECT rec_id, trim(max(coalesce(regexp_replace(year, '[\r\n]+', ' ', 'g'), ''))) AS year, trim(max(coalesce(regexp_replace(title, '[\r\n]+', ' ', 'g'), ''))) AS title, max(uri) AS uri, 'vis' AS conf_name FROM bib_records GROUP BY rec_id""",
     "cluster_stats": f"WITH {_PRUNED} SELECT s.k, s.size, t.tokens FROM (SELECT CAST(doc_id % 5 AS INTEGER) AS k, count(*) AS size FROM documents GROUP BY 1) s JOIN (SELECT k, CAST(sum(n) AS BIGINT) AS tokens FROM ptf GROUP BY k) t ON t.k = s.k",
-    "cluster_members": "SELECT CAST(doc_id % 5 AS INTEGER) AS k, doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id) AS INTEGER) AS member_no FROM documents",
+    "cluster_members": "SELECT CAST(doc_id % 5 AS INTEGER) AS k, doc_id FROM documents",
     "cluster_keywords": f"WITH {_PRUNED}, c AS (SELECT k, term, CAST(sum(n) AS BIGINT) AS n_kw FROM ptf GROUP BY k, term) {_top('c', 'k', 'n_kw', 10)}",
     "cluster_keywords_text": f"WITH {_PRUNED}, c AS (SELECT k, term, CAST(sum(n) AS BIGINT) AS n_kw FROM ptf GROUP BY k, term), r AS ({_top('c', 'k', 'n_kw', 10)}) SELECT k, string_agg(term || '(' || n_kw || '),', ' ' ORDER BY rank) AS keywords FROM r GROUP BY k",
     "cluster_keywords_by_corpus": f"WITH {_PRUNED}, c AS (SELECT corpus, k, term, CAST(sum(n) AS BIGINT) AS n_kw FROM ptf GROUP BY corpus, k, term) {_top('c', 'corpus, k', 'n_kw', 10)}",

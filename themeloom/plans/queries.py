@@ -302,7 +302,8 @@ def normalize_tf(spark, d):
 
 def _corpus_probabilities(spark, d):
     counts = _pruned(spark, d).groupBy("corpus", "term").agg(F.sum("n").alias("n"))
-    return counts.select("corpus", "term", (F.col("n") / F.sum("n").over(Window.partitionBy("corpus"))).alias("p"))
+    totals = counts.groupBy("corpus").agg(F.sum("n").alias("total"))
+    return counts.join(totals, "corpus").select("corpus", "term", (F.col("n") / F.col("total")).alias("p"))
 
 
 def _divergence(spark, d):
