@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from themeloom.llm import cooccurrence, leaks, mixing, names, subjects, terms, truncation
 from themeloom.operators import multivalue
+from themeloom.operators.queries import PACKED_SQL
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -140,7 +141,16 @@ WITH sized AS (SELECT source, len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r
 per AS (SELECT source, sum(size) AS size FROM sized GROUP BY source), total AS (SELECT sum(size) AS total FROM sized)
 """
 
+_P5 = f"""
+WITH {PACKED_SQL}, b AS (SELECT DISTINCT rec_id, lower(val) AS kw FROM packed WHERE field = 'keywords'), one AS (SELECT kw, count(*) AS n FROM b GROUP BY kw),
+two AS (SELECT x.kw AS kw_a, y.kw AS kw_b, count(*) AS n_ab FROM b x JOIN b y ON x.rec_id = y.rec_id AND x.kw < y.kw GROUP BY x.kw, y.kw),
+lifted AS (SELECT kw_a, kw_b, a.n AS n_a, c.n AS n_b, n_ab, round(n_ab * (SELECT count(DISTINCT rec_id) FROM b) / (a.n * c.n), 6) AS lift
+  FROM two JOIN one a ON a.kw = kw_a JOIN one c ON c.kw = kw_b WHERE n_ab >= 5 AND n_ab * (SELECT count(DISTINCT rec_id) FROM b) >= 4 * a.n * c.n)
+"""
+
 ORACLE = {
+    "p5_pairs": _P5 + "SELECT * FROM lifted",
+    "p5_found": _P5 + "SELECT kw_a, kw_b FROM lifted",
     "p6_found": _P6 + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_frequencies": _P6 + "SELECT * FROM marked",
     "p8_found": _SIZES + "SELECT m.source FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total WHERE m.max_repeats * coalesce(p.size, 0) < m.target_share * total",
