@@ -243,3 +243,19 @@ def test_truncation(spark):
     rates = {r["source"]: r["truncated_docs"] for r in truncation.truncation_by_source(truncation.judge(df)).collect()}
     assert rates == {"s": len(CUT), None: 1}
     assert truncation.judge(df.limit(0)).count() == 0
+
+
+def test_truncation_in_sources_that_cut(spark):
+    words = "early results frame the rest each year and shorten unlabelled comparisons while wider snippets meet newspapers with care".split()
+    rng = random.Random(5)
+    prose = lambda: " ".join(rng.choices(words, k=9)).capitalize() + "."
+    rows = [(i, " ".join(prose() for _ in range(20))[:1000].rstrip(" ."), "limited") for i in range(4)]  # most of the source is cut
+    rows += [(10, prose() + " It frames the rest ea", "single")]
+    rows += [(20 + i, " ".join(rng.sample(words, 4 + i % 7)), "headlines") for i in range(40)]
+    # a headline source cuts too: after a sentence, inside a word, inside a list
+    cut = [(100, "Newspapers meet with care. They frame the", "headlines"), (101, "Wider newspapers frame compari", "headlines"), (102, "Results, newspapers,", "headlines"), (103, prose()[:-1] * 4, "headlines")]
+    # and short texts cut at one length
+    rows += [(200 + i, (" ".join(rng.choices(words, k=12)))[:40].rstrip(), "short") for i in range(30)]
+    judged = {r["doc_id"]: r["truncated"] for r in truncation.judge(spark.createDataFrame(rows + cut, "doc_id bigint, text string, source string")).collect()}
+    assert [i for i in (*range(4), 10, *range(100, 104), *range(200, 230)) if not judged[i]] == []
+    assert [i for i in range(20, 60) if judged[i]] == []

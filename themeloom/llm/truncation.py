@@ -3,8 +3,9 @@
 A pushdown automaton reads the structure of the last sentence: quotes, brackets and
 markup it opens must be closed. Broken characters, escapes and continuation marks at the end
 are traces of a cut. A text without a terminator is cut unless it ends with a finished
-closing line; where a source habitually ends without terminators, their absence alone is no
-evidence. All of it is SQL over the text's last part; texts never leave the JVM.
+closing line. Headlines need no terminator: short texts without a finished sentence, in a source
+made of them, whose last word is whole and whose lengths don't pile up at a limit. All of it is
+SQL; texts never leave the JVM.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.plans.lineage import cut
+
 #: Characters that may end a sentence, and those that may follow them.
 TERMINATORS = ".!?。！？؟।"
 CLOSERS = "\"'”’»«“)\\]}›"
@@ -29,6 +32,13 @@ CUT_MARKS = r"(?i)(?:\[\s*(?:more|\.\.\.|…|mehr|más|suite|truncated|cut)\s*\]
 BROKEN_END = r"(?:&#?[A-Za-z0-9]{0,8}|\\\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-Fa-f]?|<[^<>]{0,200}|[\x{D800}-\x{DFFF}\x{FFFD}])\z"
 #: Characters in which a trace of a cut must show.
 TRACE = 240
+#: Longest headline, and least number of texts from which a source's habit is known.
+HEADLINE, SAMPLE = 200, 5
+#: Lengths at a source's longest one (a blank at the cut is trimmed), lengths below that they are compared with, and how much denser they must be.
+AT_LIMIT, BELOW, PILE = 2, 10, 3
+#: A sentence that ends inside a text; short capitalised words before a full stop are abbreviations.
+SENTENCE_INSIDE = rf"(?:(?<![\p{{L}}\p{{N}}])\p{{Ll}}\p{{L}}{{2,}}|\p{{L}}{{5,}}|[{CLOSERS}])\.[{CLOSERS}]*\s+[^\s\p{{Ll}}]|[。।]\s*\S"
+_WORD = r"[\p{L}\p{M}\p{N}]"
 _STRUCTURE = r"[\"“”„«»()\[\]{}]"
 
 
@@ -81,13 +91,63 @@ def end_features(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame
         # a sentence that is damaged before its end may hold an odd quote; one that is open at its very end is cut
         (F.length(open_structure(tail)) > 0).alias("opened"),
         (F.col("body") == "").alias("empty"),
+        F.length("body").alias("chars"),
+        F.xxhash64("body").alias("same"),
+        # short, and ends neither inside a list nor after a sentence
+        F.when(F.length("body") <= HEADLINE, ~F.col("body").rlike(SENTENCE_INSIDE) & end.rlike(rf"(?:{_WORD}|[{CLOSERS}%])\z")).otherwise(False).alias("headline"),
+        F.lower(F.regexp_extract(end, rf"({_WORD}+)\z", 1)).alias("last"),
     )
 
 
+def _unended() -> Column:
+    """Headline-like texts without terminator, closing line or trace."""
+    return F.col("headline") & ~(F.col("terminated") | F.col("closing_line") | F.col("marked") | F.col("broken"))
+
+
+def _usual(n: Column) -> Column:
+    """Whether ``n`` of a source's texts are enough for a habit."""
+    return (F.count_if(~F.col("empty")) >= SAMPLE) & (2 * n > F.count_if(~F.col("empty")))
+
+
+def half_words(docs: DataFrame, text: str, features: DataFrame) -> DataFrame:
+    """(last, half): last words of headlines that never stand inside a text while longer words that begin like them are at least twice as frequent."""
+    lasts = features.where(_unended() & (F.col("last") != "")).groupBy("last").agg(F.count("*").alias("ends"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"({_WORD}++)(?!\z)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    begun = words.select(F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(TRACE)))).alias("l"), "word", "n")
+    begun = begun.groupBy(F.expr("substring(word, 1, l)").alias("last")).agg(F.max(F.col("l") == F.length("word")).alias("whole"), F.sum("n").alias("n"))
+    return lasts.join(begun, "last").where(~F.col("whole") & (F.col("n") >= 2 * F.col("ends"))).select("last", F.lit(True).alias("half"))
+
+
+def length_limits(features: DataFrame) -> DataFrame:
+    """(source, limit): the least length at which a source's different headlines pile up below their longest one; null if they don't."""
+    lengths = features.where(_unended()).groupBy("source", "chars").agg(F.count_distinct("same").alias("n"))
+    longest = lengths.groupBy("source").agg(F.max("chars").alias("longest")).withColumnRenamed("source", "of")
+    joined = lengths.join(longest, F.col("source").eqNullSafe(F.col("of")))
+    below = F.col("longest") - F.col("chars")
+    counts = joined.groupBy("source", "longest").agg(F.sum(F.when(below < AT_LIMIT, F.col("n")).otherwise(0)).alias("at"), F.sum(F.when((below >= AT_LIMIT) & (below < AT_LIMIT + BELOW), F.col("n")).otherwise(0)).alias("before"))
+    piled = (F.col("at") >= 3) & (F.col("at") * BELOW >= PILE * AT_LIMIT * F.col("before"))
+    return counts.select("source", F.when(piled, F.col("longest") - AT_LIMIT + 1).alias("limit"))
+
+
 def source_habits(features: DataFrame) -> DataFrame:
-    """(source, loose): whether most of a source's texts end without terminator, closing line or trace."""
-    ended = F.col("terminated") | F.col("closing_line") | F.col("marked") | F.col("broken")
-    return features.where(~F.col("empty")).groupBy("source").agg((F.avg(F.when(ended, 0.0).otherwise(1.0)) > 0.5).alias("loose"))
+    """(source, loose): whether most of a source's texts are headlines that show no sign of a cut (``plain``)."""
+    return features.groupBy("source").agg(_usual(F.count_if(F.col("plain"))).alias("loose"))
+
+
+def _with_source(features: DataFrame, by_source: DataFrame) -> DataFrame:
+    # one row per source; joined by hash with AQE, which sends it out only if it is small
+    return features.join(by_source.withColumnRenamed("source", "habit_of"), F.col("source").eqNullSafe(F.col("habit_of")), "left").drop("habit_of")
+
+
+def _plain(docs: DataFrame, text: str, features: DataFrame) -> DataFrame:
+    """``features`` with plain: headlines whose last word is whole and whose length is below a limit of their source."""
+    if not features.groupBy("source").agg(_usual(F.count_if(_unended())).alias("usual")).where("usual").limit(1).count():
+        return features.withColumn("plain", F.lit(False))  # no source of headlines: no words to count
+    # rows without a word to look up get keys of their own
+    key = F.when(_unended() & (F.col("last") != ""), F.col("last")).otherwise(F.concat(F.lit("\0"), F.col("same").cast("string")))
+    looked = features.withColumn("last", key).join(half_words(docs, text, features), "last", "left")
+    looked = _with_source(looked, length_limits(features))
+    return looked.withColumn("plain", F.coalesce(_unended() & F.col("half").isNull() & (F.col("limit").isNull() | (F.col("chars") < F.col("limit"))), F.lit(False)))
 
 
 def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -95,15 +155,13 @@ def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
 
     ``evidence`` is the first of: ``mark`` (a continuation mark), ``broken`` (half a character,
     escape or tag), ``open`` (an open quote or bracket in a terminated last sentence), ``unfinished``
-    (neither terminator nor closing line); null if the text is whole.
+    (neither terminator nor closing line, nor a headline in a source of headlines); null if the text is whole.
 
     Defined cases: null and empty texts are not truncated; null sources form one source;
     repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    features = end_features(docs, doc, text, source)
-    # one row per source; joined by hash with AQE, which sends it out only if it is small
-    habits = source_habits(features)
-    joined = features.join(habits.withColumnRenamed("source", "habit_of"), F.col("source").eqNullSafe(F.col("habit_of")), "left")
+    features = _plain(docs, text, cut(end_features(docs, doc, text, source)))
+    joined = _with_source(features, source_habits(features))
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
     finished = f("terminated") | f("closing_line")
     evidence = (
@@ -111,7 +169,7 @@ def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
         .when(f("marked"), "mark")
         .when(f("broken") & ~f("closing_line"), "broken")
         .when(f("terminated") & f("opened"), "open")
-        .when(~finished & ~f("loose"), "unfinished")
+        .when(~finished & ~(f("loose") & f("plain")), "unfinished")
         .when(~finished & f("opened"), "open")
     )
     return joined.select("doc_id", "source", evidence.isNotNull().alias("truncated"), evidence.alias("evidence"))
