@@ -139,6 +139,18 @@ def test_planted_subjects(spark):
     assert subjects.cluster_documents(df.limit(0)).count() == 0
 
 
+def test_small_subject_among_large_ones(spark):
+    rng, rows = random.Random(9), []
+    for d in range(240):  # large subjects with twelve terms each
+        g = d % 4
+        rows += [(d, g * 12 + w, n) for w, n in Counter(int(rng.triangular(0, 12, 0)) for _ in range(30)).items()]
+    for i in range(4):  # each small document also has the two heaviest terms of another large subject
+        rows += [(1000 + i, 500 + w, 4) for w in range(6)] + [(1000 + i, i * 12, 5), (1000 + i, i * 12 + 1, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, w int, n bigint")
+    got = {r["doc_id"]: r["rep_id"] for r in subjects.cluster_documents(df).collect()}
+    assert got == {d: d % 4 for d in range(240)} | dict.fromkeys(range(1000, 1004), 1000)
+
+
 def test_spread_smallest(spark):
     nodes = spark.range(12).select("id")
     links = spark.createDataFrame([(i, i + 1) for i in range(8)] + [(9, 11)], "a bigint, b bigint")
