@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 from collections import Counter
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.plans import clustering, scoring, topics
+from themeloom.plans import queries as model_queries
 from themeloom.sources import records
 from themeloom.streaming.slices import slice_writer
 
@@ -68,6 +70,24 @@ def test_incremental_and_topics(spark):
         assert sum(fit.weights.values()) + fit.unseen == pytest.approx(1)
 
 
+def test_incremental_slices(spark, tmp_path, monkeypatch):
+    rows = [(i, "abc"[i % 3], "alpha beta gamma", datetime.datetime(y, 5, 1) if y else None) for i, y in enumerate((2001, 2001, 2002, 2004, None))]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string, ts timestamp").write.parquet(str(tmp_path / "documents.parquet"))
+    reports = {f"{kind}_{t}": spark.range(1).select("id") for kind in ("summary", "output", "input") for t in (1, 3)}
+    monkeypatch.setattr(clustering, "fit_incremental", lambda docs, tf, n, p: clustering.ClusterFit(docs, {}, 1.0, p.iterations, 1.0, reports=reports))
+    assert {(r["doc_id"], r["time_idx"]) for r in model_queries.QUERIES["incremental_fit"](spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (2, 1), (3, 3)}
+    for name in ("incremental_summary", "incremental_splits", "incremental_merges"):
+        assert {tuple(r) for r in model_queries.QUERIES[name](spark, str(tmp_path)).collect()} == {(1, 0), (3, 0)}
+
+
+def test_incremental_empty_slice(spark):
+    docs, tf, n_terms = planted(spark, per=4)
+    docs = docs.withColumn("time_idx", F.when(F.col("time_idx") > 0, 2).otherwise(0))
+    done = clustering.fit_incremental(docs, tf, n_terms, clustering.ClusterParams(iterations=1, seed=2, initial=3))
+    assert done.assign.count() == docs.count() and {f"{kind}_{t}" for kind in ("summary", "output", "input") for t in (1, 2)} <= set(done.reports)
+    assert done.reports["summary_1"].where("size > 0").count() == 0 and done.reports["summary_1"].count() > 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("year: 2001\ntitle: A: b\nlink: http://x\nabstract: t\nkeywords: k\nauthor: A B\n\nyear: 2002\ntitle: C\nlink: u\nabstract: z\nkeywords:\nauthor: D\n")
     both = records.read_labelled(spark, str(tmp_path / "a.txt"), "infovis")

@@ -6,6 +6,8 @@ that follows from given assignments can be compared with SQL.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -414,13 +416,36 @@ def fit_topics(spark, d):
     return topics.fit_topics(toks, n, topics.TopicParams(iterations=1, seed=1, shard_tokens=20_000)).tokens.select("doc_id", "pos", "w", "k")
 
 
-def incremental_fit(spark, d):
+def _years_fit(spark, d):
+    """The incremental fit over the years of the full spine; documents without a time have no slice."""
     docs, tf, n = _small_model(spark, d)
-    years = _docs(spark, d).where("ts IS NOT NULL").select("doc_id", F.year("ts").alias("y"))
-    ends = years.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    # two halves of the period keep the number of slices small, all documents take part
-    sliced = docs.join(years.join(F.broadcast(ends)).select("doc_id", (F.col("y") > (F.col("lo") + F.col("hi")) / 2).cast("int").alias("time_idx")), "doc_id")
-    return clustering.fit_incremental(sliced, tf, n, clustering.ClusterParams(iterations=1, seed=1)).assign
+    dated = _docs(spark, d).where("ts IS NOT NULL")
+    years = timeline.spine(dated, timeline.year_bucket(F.col("ts")), "year").select("time_idx", "bucket")
+    bucketed = dated.select("doc_id", timeline.year_bucket(F.col("ts")).alias("bucket"))
+    sliced = docs.join(bucketed.join(F.broadcast(years), "bucket").select("doc_id", "time_idx"), "doc_id")
+    return clustering.fit_incremental(cut(sliced), tf, n, clustering.ClusterParams(seed=1))
+
+
+def _reports(fit, kind):
+    """One kind of report of all slices."""
+    parts = [df.select(F.lit(int(name.removeprefix(f"{kind}_"))).alias("time_idx"), "*") for name, df in fit.reports.items() if name.startswith(f"{kind}_")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def incremental_fit(spark, d):
+    return _years_fit(spark, d).assign
+
+
+def incremental_summary(spark, d):
+    return _reports(_years_fit(spark, d), "summary")
+
+
+def incremental_splits(spark, d):
+    return _reports(_years_fit(spark, d), "output")
+
+
+def incremental_merges(spark, d):
+    return _reports(_years_fit(spark, d), "input")
 
 
 QUERIES = {
@@ -430,6 +455,6 @@ QUERIES = {
         cumulative_cluster_sizes, search_term, search_boolean, search_all, sample_fraction_hash, kfold_mod, parse_labelled_records, cluster_stats, cluster_members, cluster_keywords, cluster_keywords_text, cluster_keywords_by_corpus, cluster_rollup,
         topic_stats, topic_keywords, doc_topic_matrix, topics_per_doc, split_matrix, merge_matrix, split_keywords, timeslice_summary, vec_add, vec_dot, vec_norm2, vec_minmax, vec_topk, matrix_row_col_stats, sparse_from_dense, sparse_dense_dot, unique_counts,
         positions_of_values, mean_std, normalize_tf, kl_corpora, sym_kl_corpora, posterior_loglik, sumlog_range, doc_log_marginal, doc_empty_marginal, cluster_loglik, token_loglik, map_reassign, map_reassign_with_new, predict_cluster, predict_token_probs,
-        crp_expected_tables, fit_clusters_batch, fit_clusters_exact, fit_topics, incremental_fit,
+        crp_expected_tables, fit_clusters_batch, fit_clusters_exact, fit_topics, incremental_fit, incremental_summary, incremental_splits, incremental_merges,
     )
 }
