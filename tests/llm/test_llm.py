@@ -85,6 +85,17 @@ def test_pairs(spark, heavy):
     assert cooccurrence.pair_lift(df.limit(0), "rec_id", "kw").count() == 0
 
 
+@pytest.mark.parametrize("heavy", [2, 8])
+def test_pairs_of_large_baskets(spark, heavy, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "SEGMENT", 5)
+    rng = random.Random(15)
+    baskets = {b: {f"i{int(rng.paretovariate(0.5)) % 90}" for _ in range(rng.choice((3, 60)))} for b in range(25)}
+    ab = Counter(p for s in baskets.values() for p in itertools.combinations(sorted(s), 2))
+    df = spark.createDataFrame([(b, i) for b, s in baskets.items() for i in s], "rec_id bigint, kw string")
+    got = {tuple(r)[:2]: r["n_ab"] for r in cooccurrence.pair_lift(df, "rec_id", "kw", heavy_items=heavy).collect()}
+    assert got == dict(ab)
+
+
 # ---- terms
 
 
@@ -192,18 +203,22 @@ def test_leaks(spark):
 
 def test_fit_is_best():
     rng = random.Random(11)
-    for _ in range(200):
-        lengths = sorted(rng.sample(range(1, 30), rng.randrange(1, 6)))
-        counts = [rng.randrange(1, 8) for _ in lengths]
-        budget = rng.randrange(0, 200)
-        take = mixing.fit(lengths, counts, budget)
+    for _ in range(3000):
+        lengths = sorted(rng.sample(range(1, 45), rng.randrange(1, 6)))
+        counts = [rng.randrange(1, 12) for _ in lengths]
+        budget = rng.randrange(0, 300)
+        take, best = mixing.fit(lengths, counts, budget)
+        assert best
         total = sum(n * k for n, k in zip(lengths, take))
         assert all(0 <= k <= c for k, c in zip(take, counts)) and total <= budget
         sums = {0}
         for n, c in zip(lengths, counts):
             sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= budget}
-        assert total >= max(sums) - 0 or budget - total <= max(lengths)
-    big = mixing.fit(list(range(50, 900)), [10_000] * 850, 1_234_567_891)
+        assert total == max(sums)
+    assert mixing.fit([2, 34], [13, 22], 590)[1] and sum(n * k for n, k in zip([2, 34], mixing.fit([2, 34], [13, 22], 590)[0])) == 590
+    assert mixing.fit([0, 7], [3, 2], 10) == ([0, 1], True) and mixing.fit([], [], 5) == ([], True)
+    big, best = mixing.fit(list(range(50, 900)), [10_000] * 850, 1_234_567_891)
+    assert best
     assert sum(n * k for n, k in zip(range(50, 900), big)) == 1_234_567_891
 
 
@@ -215,7 +230,7 @@ def test_mix(spark):
     chosen = mixing.mix(sized, targets, 3)
     again = mixing.mix(sized.repartition(7), targets, 3)
     assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))
-    report = {r["source"]: r for r in mixing.mix_report(chosen, mixing.source_budgets(sized, targets)).collect()}
+    report = {r["source"]: r for r in mixing.mix_report(chosen, mixing.source_budgets(mixing.length_counts(sized), targets)).collect()}
     for s in "abc":
         assert report[s]["taken"] == min(report[s]["budget"], report[s]["max_repeats"] * report[s]["size"])
     assert not report["none"]["reachable"] and report["none"]["taken"] == 0 and chosen.where("repeats > 2 or source = 'z'").count() == 0
@@ -238,11 +253,11 @@ def test_token_counts(spark):
 
 WHOLE = [
     "All is well. It ends here.", "Is it so? It is!", 'He put it, "Done!"', "It ended. (All was well.)", "Text.\nKeywords: a b, c", "Text.\nSee also http://x.example/a/1", "Text.\n-- the editors", "Text.\nTable 3: 7 topics, 4 documents", "Text.\n[4] X Group, A title, 2007",
-    "Damaged (about 0.7. With more, it ends.", "", None, "Use Lida-2.", "Text.  \n", "Fin ?", "Ende. „Gut.“", "a" * 100_000 + ".",
+    "Damaged (about 0.7. With more, it goes on. And on. Then it ends.", "", None, "A <b>bold</b> line <br> ends.", "“As “ he (put) it. <p>So.", "Text.\nTopics: one, two", "More text.\nTopics: two", "Again.\nTopics : four five", "Use Lida-2.", "Text.  \n", "Fin ?", "Ende. „Gut.“", "a" * 100_000 + ".",
 ]
 CUT = [
     "All is well. It en", "All is well. It ends,", "All is well. It ends [more]", "All is wel...", "All is well…", "Text. Some (continued", "Text. With our &am", "Text. We isolate <b", "Text. Flat r�", 'Well. As put, "Which canvases combine!', "Well. (about 0.", "Well. [...]", "Well. The \\u00",
-    "a b " * 30_000,
+    "a b " * 30_000, "See (this. The rest is fine.", "He wrote “no end. And then more.", "A <b>bold line. It ends.", "Well. So <a href='" + "x" * 500,
 ]
 
 

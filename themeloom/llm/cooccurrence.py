@@ -7,7 +7,9 @@ item codes once. Every Arrow batch of such rows is a block:
 * heavy-heavy pairs: the block's bit matrix (one row of packed bits per heavy item) gives
   all counts by AND and population count;
 * heavy-light pairs: the records of each light item probe the bit matrix;
-* light-light pairs: hash-counted in the JVM from each record's light items.
+* light-light pairs: hash-counted in the JVM from each record's light items. A record with many of them is
+  first cut into segments; pairs of segments are rows of their own and spread over the executors, so that no task
+  forms the pairs of a whole large record.
 
 Blocks emit counts, not pairs of records, and a hash aggregate adds them up.
 """
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.plans.lineage import cut, spread
+from themeloom.plans.lineage import cut
 
 #: Bytes for the bits that one step of AND and population count holds.
 STEP_BYTES = 1 << 25
+#: Light items in one segment of a record; a row makes at most the square of it in pairs.
+SEGMENT = 256
 
 
 def _bits(rows: np.ndarray, items: np.ndarray, n_items: int, n_rows: int) -> np.ndarray:
@@ -35,8 +39,9 @@ def _bits(rows: np.ndarray, items: np.ndarray, n_items: int, n_rows: int) -> np.
     return dense.view(np.uint64)
 
 
-def block_counts(heavy: list[np.ndarray], light: list[np.ndarray], n_heavy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n) over one block: heavy codes are 0..n_heavy-1, light codes are larger."""
+def block_counts(heavy: list[np.ndarray], light: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n) over one block: heavy codes are smaller than light ones. Pairs of heavy items count in rows that
+    are ``own``; the others repeat the heavy items of a record for further segments of its light ones."""
     n = len(heavy)
     rows = np.repeat(np.arange(n), [len(x) for x in heavy])
     items = np.concatenate(heavy).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
@@ -44,8 +49,9 @@ def block_counts(heavy: list[np.ndarray], light: list[np.ndarray], n_heavy: int)
     bits = _bits(rows, local, len(used), n)
     out_a, out_b, out_n = [], [], []
     step = max(1, STEP_BYTES // max(1, bits.nbytes))
+    rows_own = _bits(np.flatnonzero(own), np.zeros(int(own.sum()), np.int64), 1, n)[0]
     for i in range(0, len(used), step):
-        both = np.bitwise_count(bits[i : i + step, None, :] & bits[None, :, :]).sum(2, dtype=np.int64)
+        both = np.bitwise_count((bits[i : i + step] & rows_own)[:, None, :] & bits[None, :, :]).sum(2, dtype=np.int64)
         x, y = np.nonzero(both)
         keep = used[i + x] < used[y]
         x, y = x[keep], y[keep]
@@ -68,16 +74,13 @@ def block_counts(heavy: list[np.ndarray], light: list[np.ndarray], n_heavy: int)
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_n)
 
 
-def _dense(n_heavy: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                lists = [[np.asarray(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("heavy", "light")]
-                a, b, n = block_counts(*lists, n_heavy)
-                for i in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in (a, b, n)], names=["a", "b", "n_ab"])
-
-    return run
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            heavy, light = ([np.asarray(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("heavy", "light"))
+            a, b, n = block_counts(heavy, light, np.array(batch.column("own").to_pylist(), bool))
+            for i in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in (a, b, n)], names=["a", "b", "n_ab"])
 
 
 def item_counts(baskets: DataFrame, basket: str, item: str) -> DataFrame:
@@ -86,7 +89,7 @@ def item_counts(baskets: DataFrame, basket: str, item: str) -> DataFrame:
     return distinct.groupBy("item").agg(F.count("*").alias("n"))
 
 
-def pair_lift(baskets: DataFrame, basket: str, item: str, min_together: int = 1, min_lift: float = 0.0, heavy_items: int = 512) -> DataFrame:
+def pair_lift(baskets: DataFrame, basket: str, item: str, min_together: int = 1, min_lift: float = 0.0, heavy_items: int | None = None) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab, lift) of every pair of different items, item_a < item_b.
 
     ``lift`` is n_ab * N / (n_a * n_b), N the number of baskets with at least one item. Pairs
@@ -94,6 +97,9 @@ def pair_lift(baskets: DataFrame, basket: str, item: str, min_together: int = 1,
     dropped before pairs are formed, which is exact because n_ab is at most the smaller of
     n_a and n_b.
 
+    ``heavy_items`` bounds the number of heavy items, and by that the bit matrix of a block; by default it is chosen so that
+    a light item stands in at most ten thousand records or one in 512 of all postings, whichever is less, and is at most 16 384.
+
     Defined cases: repeated (basket, item) rows count once; null baskets and items are left
     out; an empty table gives no rows; other columns are ignored.
     """
@@ -103,6 +109,8 @@ def pair_lift(baskets: DataFrame, basket: str, item: str, min_together: int = 1,
     counts = rows.groupBy("item").agg(F.count("*").alias("n"))
     useful = counts.where((F.col("n") >= min_together) & (F.col("n") * F.lit(float(min_lift)) <= float(total)))
     postings = useful.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if heavy_items is None:
+        heavy_items = int(min(16_384, max(512, postings / 10_000)))
     heavy_from = max(1.0, postings / heavy_items)
     # heavy items get the codes 0.., at most heavy_items of them, so they may go to the driver
     heavy = [r["item"] for r in useful.where(F.col("n") > heavy_from).select("item").collect()]
@@ -112,21 +120,39 @@ def pair_lift(baskets: DataFrame, basket: str, item: str, min_together: int = 1,
     coded = cut(coded)
     if coded.groupBy("code").count().where("count > 1").limit(1).count():
         raise ValueError("two items share a hash code")
-    packed = (
-        rows.join(coded, "item")
-        .groupBy("basket")
-        .agg(F.collect_list("code").alias("codes"))
+    # a segment holds some of a record's light codes, chosen by hash; the record's heavy codes, at most heavy_items, go with segment 0
+    posted = rows.join(coded, "item").select("basket", "code")
+    held = posted.groupBy("basket").agg(F.count_if(F.col("code") >= heavy_items).alias("n_light"))
+    segments = F.greatest(F.lit(1), F.ceil(F.col("n_light") / SEGMENT))
+    in_segment = F.when(F.col("code") < heavy_items, F.lit(0)).otherwise(F.pmod(F.xxhash64("code"), segments))
+    packed = cut(
+        posted.join(held, "basket")
+        .select("basket", "code", segments.alias("segments"), in_segment.cast("int").alias("segment"))
+        .groupBy("basket", "segment")
+        .agg(F.collect_list("code").alias("codes"), F.max("segments").alias("segments"))
         .select(
+            "basket",
+            "segment",
+            "segments",
             F.filter("codes", lambda c: c < heavy_items).alias("heavy"),
             F.array_sort(F.filter("codes", lambda c: c >= heavy_items)).alias("light"),
         )
-        .where(F.size("heavy") + F.size("light") > 1)
     )
-    packed = cut(spread(packed))
-    dense = packed.where(F.size("heavy") > 0).mapInArrow(_dense(len(heavy)), "a bigint, b bigint, n_ab bigint")
-    # each light item with the later light items of its record: counted by hash before the shuffle
-    light = packed.where(F.size("light") > 1).select(F.posexplode("light").alias("i", "a"), "light")
-    light = light.select("a", F.explode(F.slice("light", F.col("i") + 2, F.size("light"))).alias("b"), F.lit(1).cast("bigint").alias("n_ab"))
+    # records of several segments: their heavy codes meet each segment, and their segments each other
+    large = packed.where("segments > 1")
+    heads = large.where("segment = 0").select("basket", F.col("heavy").alias("head"))
+    whole = packed.where((F.col("segments") == 1) & (F.size("heavy") + F.size("light") > 1)).select("heavy", "light", F.lit(True).alias("own"))
+    cut_up = large.join(heads, "basket").select(F.col("head").alias("heavy"), "light", (F.col("segment") == 0).alias("own"))
+    dense = whole.unionByName(cut_up).where(F.size("heavy") > 0).mapInArrow(_dense, "a bigint, b bigint, n_ab bigint")
+    # each light item with the later light items of its segment, and with those of later segments: counted by hash before the shuffle
+    inside = packed.where(F.size("light") > 1).select(F.posexplode("light").alias("i", "a"), "light")
+    inside = inside.select("a", F.explode(F.slice("light", F.col("i") + 2, F.size("light"))).alias("b"))
+    later = large.select("basket", F.col("segment").alias("later"), F.col("light").alias("others"))
+    across = large.select("basket", "segment", "light", "segments").join(later, "basket").where("later > segment")
+    # pairs of segments are few and small as rows; they move apart before they are multiplied out
+    across = across.repartition(F.xxhash64("basket", "segment", "later")).select(F.explode("light").alias("x"), "others").select("x", F.explode("others").alias("y"))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    light = inside.unionByName(across).withColumn("n_ab", F.lit(1).cast("bigint"))
     pairs = dense.unionByName(light).groupBy("a", "b").agg(F.sum("n_ab").alias("n_ab")).where(F.col("n_ab") >= min_together)
     named = pairs.join(coded.select(F.col("code").alias("a"), F.col("item").alias("item_1"), F.col("n").alias("n_1")), "a").join(
         coded.select(F.col("code").alias("b"), F.col("item").alias("item_2"), F.col("n").alias("n_2")), "b"

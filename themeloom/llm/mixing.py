@@ -1,15 +1,15 @@
 """Mixing sources to target weights.
 
 Documents are counted by exact length per source. A source's budget is first met by whole
-repetitions; what remains is spread over the lengths in proportion, and a bounded-knapsack
-programme over the leftover documents fits the small rest, so the budget is met exactly
-wherever the lengths allow it. Only counts by length enter the programme, one group per
+repetitions; for the rest a bounded-knapsack programme chooses the number of documents of each length whose
+total comes closest to it from below (see :func:`fit`). Only counts by length enter the programme, one group per
 source. Documents are then selected by seeded hash, the wanted number of each length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -45,43 +45,19 @@ def token_counts(docs: DataFrame, text: str, tokenizer: str, out: str = "size")
     return spread(docs).mapInArrow(run, f"{schema}, `{out}` bigint")
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their total is the largest possible up to ``budget``.
-
-    Counts are taken in proportion first; the knapsack then works on a rest of a few documents,
-    whatever the budget.
-    """
-    total = sum(n * k for n, k in zip(lengths, counts))
-    if budget >= total:
-        return list(counts)
-    if budget <= 0 or not total:
-        return [0] * len(lengths)
-    take = [k * budget // total if n else k for n, k in zip(lengths, counts)]
-    rest = budget - sum(n * k for n, k in zip(lengths, take))
-    most = max(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if rest <= 4 * most or not lengths[i]:
-            continue
-        more = min(counts[i] - take[i], (rest - 2 * most) // lengths[i])
-        take[i] += max(0, more)
-        rest -= max(0, more) * lengths[i]
-    # give a few back, so that the programme may exchange and not only add
-    for i in range(len(lengths)):
-        if rest < 6 * most and take[i] and lengths[i]:
-            take[i] -= 1
-            rest += lengths[i]
-    full = (1 << (rest + 1)) - 1
+def _programme(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """Bounded knapsack by bit sets: the numbers to take of each length for the largest total up to ``budget``."""
+    full = (1 << (budget + 1)) - 1
     reach, stages = 1, []
     for i, n in enumerate(lengths):
-        left = min(counts[i] - take[i], rest // n) if n else 0
-        part = 1
+        left, part = min(counts[i], budget // n), 1
         while left > 0:
             k = min(part, left)
             stages.append((i, k, reach))
             reach |= (reach << (n * k)) & full
             left -= k
             part *= 2
-    at = reach.bit_length() - 1
+    at, take = reach.bit_length() - 1, [0] * len(lengths)
     for i, k, before in reversed(stages):
         if not before >> at & 1:
             take[i] += k
@@ -89,23 +65,72 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
+def fit(lengths: list[int], counts: list[int], budget: int, most_bits: int = 1 << 31) -> tuple[list[int], bool]:
+    """How many documents of each length to take so that their total is the largest possible up to ``budget``; and whether that is proven.
+
+    Counts are taken in proportion, then filled up from the longest. The programme runs over a few lengths and a few
+    documents of each that may be exchanged; both double until the budget, rounded down to the lengths' common divisor, is met
+    exactly or everything that could matter takes part: a best choice differs from a filled-up one in at most twice the longest length's
+    number of documents. If that would need more than ``most_bits`` bits, the best choice so far is returned as unproven.
+    Documents of length 0 are not taken.
+    """
+    take = [0] * len(lengths)
+    usable = [i for i, n in enumerate(lengths) if 0 < n <= budget and counts[i] > 0]
+    if not usable:
+        return take, True
+    total = sum(lengths[i] * counts[i] for i in usable)
+    if total <= budget:
+        for i in usable:
+            take[i] = counts[i]
+        return take, True
+    goal = budget // math.gcd(*[lengths[i] for i in usable]) * math.gcd(*[lengths[i] for i in usable])
+    for i in usable:
+        take[i] = counts[i] * goal // total
+    rest = goal - sum(lengths[i] * take[i] for i in usable)
+    longest_first = sorted(usable, key=lambda i: -lengths[i])
+    for i in longest_first:
+        more = min(counts[i] - take[i], rest // lengths[i])
+        take[i] += more
+        rest -= more * lengths[i]
+    width, most = 2, 32
+    while rest:
+        free = longest_first[-most:]  # the shortest first: they fill small gaps and need few bits
+        back = [min(take[i], width) for i in free]
+        spare = [min(counts[i] - take[i], width) + k for i, k in zip(free, back)]
+        room = rest + sum(k * lengths[i] for i, k in zip(free, back))
+        if room * sum(min(n, room // lengths[i]).bit_length() for i, n in zip(free, spare)) > most_bits:
+            return take, False
+        for i, k, n in zip(free, back, _programme([lengths[i] for i in free], spare, room)):
+            take[i] += n - k
+            rest += (k - n) * lengths[i]
+        if most >= len(longest_first) and width >= min(max(counts[i] for i in usable), 2 * lengths[longest_first[0]] + 1):
+            break
+        width, most = 2 * width, 2 * most
+    return take, True
+
+
 def _plan(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("size")
     lengths, counts = frame["size"].astype(int).tolist(), frame["docs"].astype(int).tolist()
     budget, most = int(frame["budget"].iloc[0]), int(frame["max_repeats"].iloc[0])
     size = sum(n * k for n, k in zip(lengths, counts))
     whole = min(budget // size, most) if size else 0
-    extra = fit(lengths, counts, budget - whole * size) if whole < most else [0] * len(lengths)
-    return pd.DataFrame({"source": frame["source"], "size": lengths, "docs": counts, "whole": whole, "extra": extra})
+    extra, best = fit(lengths, counts, budget - whole * size) if whole < most else ([0] * len(lengths), True)
+    return pd.DataFrame({"source": frame["source"], "size": lengths, "docs": counts, "whole": whole, "extra": extra, "best": best})
+
+
+def length_counts(sized: DataFrame) -> DataFrame:
+    """(source, size, docs): number of documents of each exact length per source, the only thing the programme needs of them."""
+    return sized.groupBy("source", "size").agg(F.count("*").alias("docs"))
 
 
-def source_budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, size, total, budget, reachable) of every target source.
+def source_budgets(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats, size, total, budget, reachable) of every target source, from counts by length.
 
     ``reachable``: whether ``max_repeats`` times the source's size suffices for its share of the total of all documents.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("size"))
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    per = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("size"))
+    total = per.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     joined = wanted.join(per, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     one = joined.join(F.broadcast(total))  # a single row of totals
@@ -113,12 +138,20 @@ def source_budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return one.select("source", "target_share", "max_repeats", "size", "total", F.round(goal).cast("bigint").alias("budget"), (F.col("max_repeats") * F.col("size") >= goal).alias("reachable"))
 
 
-def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, size, docs, whole, extra): per source and document length, how often all documents are taken and how many once more."""
-    counts = sized.groupBy("source", "size").agg(F.count("*").alias("docs"))
+def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, size, docs, whole, extra, best): per source and document length, how often all documents are taken, how many once more,
+    and whether no other choice comes closer to the budget."""
     # one row per source and length: a group is bounded by the number of lengths, not of documents
-    joined = counts.join(source_budgets(sized, targets).select("source", "budget", "max_repeats"), "source")
-    return joined.groupBy("source").applyInPandas(_plan, "source string, size bigint, docs bigint, whole bigint, extra bigint")
+    joined = counts.join(source_budgets(counts, targets).select("source", "budget", "max_repeats"), "source")
+    return joined.groupBy("source").applyInPandas(_plan, "source string, size bigint, docs bigint, whole bigint, extra bigint, best boolean")
+
+
+def short_sources(plan: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(source, taken, budget): sources whose plan takes every repetition that is allowed and still stays below the target."""
+    taken = plan.groupBy("source").agg(F.sum(F.col("size") * (F.col("docs") * F.col("whole") + F.col("extra"))).alias("taken"), F.max("whole").alias("whole"))
+    joined = budgets.join(taken, "source", "left")
+    used_up = F.coalesce("whole", "max_repeats") >= F.col("max_repeats")
+    return joined.where(used_up & (F.coalesce("taken", F.lit(0)) < F.col("target_share") * F.col("total"))).select("source", F.coalesce("taken", F.lit(0)).alias("taken"), "budget")
 
 
 def mix(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
@@ -129,7 +162,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     rows are documents of their own; empty tables give no rows; other columns are ignored.
     """
     rows = cut(sized.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "size"))
-    plan = cut(mix_plan(rows, targets))
+    plan = cut(mix_plan(cut(length_counts(rows)), targets))
     hashed = rows.join(plan, ["source", "size"]).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     # whole buckets are below the wanted number; only the bucket on the border is ranked, so no large group is sorted in one task
     per = hashed.where("extra > 0 and extra < docs").groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from themeloom.llm import cooccurrence, leaks, mixing, names, subjects, terms, truncation
 from themeloom.operators import multivalue
 from themeloom.operators.queries import PACKED_SQL
+from themeloom.plans.lineage import cut
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
-    try:
-        import public_tokenizers
-
-        return str(public_tokenizers.path(name))
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
+def _tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
+    """Path of a tokenizer file: the folder is the setting ``spark.themeloom.tokenizers``."""
+    return f"{spark.conf.get('spark.themeloom.tokenizers', '/opt/tokenizers')}/{name}"
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,11 +86,21 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.source_budgets(_pieces(spark, d), _table(spark, d, "mix_targets")).where(~F.col("reachable")).select("source")
+    counts, targets = cut(mixing.length_counts(_pieces(spark, d))), _table(spark, d, "mix_targets")
+    return mixing.short_sources(mixing.mix_plan(counts, targets), mixing.source_budgets(counts, targets)).select("source")
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mix whose sizes are whitespace-separated pieces, as the plan has them."""
+    counts, targets = cut(mixing.length_counts(_pieces(spark, d))), _table(spark, d, "mix_targets")
+    plan = mixing.mix_plan(counts, targets)
+    taken = plan.groupBy("source").agg(F.sum(F.col("size") * (F.col("docs") * F.col("whole") + F.col("extra"))).alias("taken"))
+    budgets = mixing.source_budgets(counts, targets).select("source", "budget", "size", "max_repeats")
+    return budgets.join(taken, "source", "left").select("source", "size", "budget", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.token_counts(_table(spark, d, "documents").select("doc_id", "source", "text"), "text", _tokenizer())
+    return mixing.token_counts(_table(spark, d, "documents").select("doc_id", "source", "text"), "text", _tokenizer(spark))
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -101,11 +108,9 @@ def p8_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    from themeloom.plans.lineage import cut
-
     sized = cut(_tokens(spark, d))
     targets = _table(spark, d, "mix_targets")
-    return mixing.mix_report(mixing.mix(sized, targets, seed=7), mixing.source_budgets(sized, targets))
+    return mixing.mix_report(mixing.mix(sized, targets, seed=7), mixing.source_budgets(mixing.length_counts(sized), targets))
 
 
 def p9_judged(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +126,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("rate", F.round("rate", 6))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_subjects, p5_found, p5_pairs, p6_found, p6_frequencies, p6_ngrams, p7_found, p8_found, p8_selection, p8_shares, p9_found, p9_judged, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_subjects, p5_found, p5_pairs, p6_found, p6_frequencies, p6_ngrams, p7_found, p8_found, p8_pieces, p8_selection, p8_shares, p9_found, p9_judged, p9_by_source)}
 
 _ABSTRACT_WORDS = """
 once AS (SELECT rec_id, max_by(abstract, loaded_at) AS abstract FROM bib_records WHERE abstract IS NOT NULL GROUP BY rec_id),
@@ -153,5 +158,8 @@ ORACLE = {
     "p5_found": _P5 + "SELECT kw_a, kw_b FROM lifted",
     "p6_found": _P6 + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_frequencies": _P6 + "SELECT * FROM marked",
+    # every budget is met to the last piece, or all repetitions are used up
+    "p8_pieces": _SIZES + """, t AS (SELECT m.source, coalesce(p.size, 0) AS size, CAST(round(m.target_share * total) AS BIGINT) AS budget, m.max_repeats FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total)
+SELECT source, size, budget, least(budget, max_repeats * size) AS taken FROM t""",
     "p8_found": _SIZES + "SELECT m.source FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total WHERE m.max_repeats * coalesce(p.size, 0) < m.target_share * total",
 }

@@ -1,11 +1,12 @@
 """Text cut off by field limits or broken transfers.
 
-A pushdown automaton reads the structure of the last sentence: quotes, brackets and
-markup it opens must be closed. Broken characters, escapes and continuation marks at the end
-are traces of a cut. A text without a terminator is cut unless it ends with a finished
-closing line. Headlines need no terminator: short texts without a finished sentence, in a source
-made of them, whose last word is whole and whose lengths don't pile up at a limit. All of it is
-SQL; texts never leave the JVM.
+A pushdown automaton reads the whole text: quotes, brackets and elements of markup go on a
+stack and must come off it again; its end state also says whether the text ends after a terminator, inside
+a tag, escape or character, or in the middle of a sentence. A text is accepted if the stack is empty and
+it ends after a terminator or in a finished closing line. What counts as a closing line is partly learned:
+labels that recur at the start of last lines. What counts as a missing terminator depends on the
+source: in a source of headlines, short texts without a finished sentence, whose last word is whole and whose
+lengths don't pile up at a limit, need none. All of it is SQL; texts never leave the JVM.
 """
 
 from __future__ import annotations
@@ -18,87 +19,112 @@ from themeloom.plans.lineage import cut
 #: Characters that may end a sentence, and those that may follow them.
 TERMINATORS = ".!?。！？؟।"
 CLOSERS = "\"'”’»«“)\\]}›"
-#: Closing lines that need no terminator, as patterns for the whole line.
-CLOSING_LINES = (
-    r"(?i)(?:keywords?|key words|index terms|stichwörter|stichworte|schlagwörter|palabras clave|mots[- ]clés|parole chiave|tags)\s?:\s*\S.*[^\s,;:(\[\-]",
-    r"(?i)(?:see(?: also)?|voir(?: aussi)?|siehe(?: auch)?|véase(?: también)?|source|quelle|fuente|link|url)?\s*:?\s*<?https?://[^\s/]+\.\w+(?:/\S*)?[\w/]>?",
+#: Forms of closing lines that need no terminator: an address, a signature after a dash, a numbered reference with its year.
+CLOSING_FORMS = (
+    r"(?:.*\s)?<?[a-z][a-z0-9+.-]*://[^\s/]+\.\w+(?:/\S*)?[\w/]>?",
     r"(?:--|—|–)\s*\S.*\w",
-    r"(?i)(?:table|tab\.|figure|fig\.|tabelle|abbildung|abb\.|tableau|tabla|figura)\s*\d+[a-z]?\s*[:.]\s*\S.*\w",
     r"\[\d+\]\s*\S.*,\s*(?:1[5-9]|20)\d\d[a-z]?",
 )
+#: A last line ``label: value``; numbers in labels are all alike. The label closes a text if it recurs (``LABEL_DOCS``) or is common usage.
+LABEL = r"^([\p{L}][^:.!?\n]{0,38}?)\s?:\s*\S(?:.*[^\s,;:(\[\-])?\z"
+USUAL_LABELS = ("keywords", "key words", "tags", "source", "see also", "figure 0", "table 0")
+LABEL_DOCS = 3
 #: Marks that a cut leaves behind.
 CUT_MARKS = r"(?i)(?:\[\s*(?:more|\.\.\.|…|mehr|más|suite|truncated|cut)\s*\]|\(\s*(?:continued|cont\.?|more|fortsetzung|suite|continúa)\s*\)?|\b(?:read more|continue reading)|\.\.\.|…|\x{FFFD}+)\s*\z"
-#: Characters that a broken transfer leaves: half an escape, half a character, half a tag.
-BROKEN_END = r"(?:&#?[A-Za-z0-9]{0,8}|\\\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-Fa-f]?|<[^<>]{0,200}|[\x{D800}-\x{DFFF}\x{FFFD}])\z"
-#: Characters in which a trace of a cut must show.
-TRACE = 240
+#: What a broken transfer leaves at the end: half an escape, half a character.
+BROKEN_END = r"(?:&#?[A-Za-z0-9]{0,8}|\\\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-Fa-f]?|[\x{D800}-\x{DFFF}\x{FFFD}])\z"
 #: Longest headline, and least number of texts from which a source's habit is known.
 HEADLINE, SAMPLE = 200, 5
 #: Lengths at a source's longest one (a blank at the cut is trimmed), lengths below that they are compared with, and how much denser they must be.
 AT_LIMIT, BELOW, PILE = 2, 10, 3
-#: A sentence that ends inside a text; short capitalised words before a full stop are abbreviations.
-SENTENCE_INSIDE = rf"(?:(?<![\p{{L}}\p{{N}}])\p{{Ll}}\p{{L}}{{2,}}|\p{{L}}{{5,}}|[{CLOSERS}])\.[{CLOSERS}]*\s+[^\s\p{{Ll}}]|[。।]\s*\S"
+#: A sentence that ends inside a text; short capitalised words before a full stop are abbreviations. Only fixed lengths before the stop, so long words cost no more.
+SENTENCE_INSIDE = rf"(?:(?<![\p{{L}}\p{{N}}])\p{{Ll}}\p{{L}}{{2,3}}|\p{{L}}{{5}}|[{CLOSERS}])\.[{CLOSERS}]*\s+[^\s\p{{Ll}}]|[。।]\s*\S"
 _WORD = r"[\p{L}\p{M}\p{N}]"
-_STRUCTURE = r"[\"“”„«»()\[\]{}]"
+#: Elements that have no end tag, or may go without.
+VOID = ("area", "base", "br", "col", "dd", "dt", "embed", "hr", "img", "input", "li", "link", "meta", "option", "p", "param", "source", "td", "th", "tr", "track", "wbr")
+#: Finished sentences after which what is still open was left open by damage and not by a cut.
+SENTENCES = 2
+#: What the automaton reads: tags (also one that never ends), quotes and brackets, ends of sentences inside the text.
+_TOKEN = r"</?[A-Za-z][^<>]*(?:>|\z)|<\z|[\"“”„«»()\[\]{}]|[.!?。！？؟।](?=\s+\S)"
+_CLOSES = {")": "(", "]": "[", "}": "{", "”": "“"}
+#: Marks that close one of these if it is open, the first one first, and open otherwise.
+_EITHER = {"“": "„“", "«": "»", "»": "«", '"': '"'}
 
 
-def _line(text: Column) -> Column:
-    return F.trim(F.substring_index(text, "\n", -1))
-
+def open_structure(text: Column) -> Column:
+    """Stack of the tags, quotes and brackets still open at the end of a text, as an array; a tag cut in two is ``<``.
 
-def last_sentence(text: Column) -> Column:
-    """What stands after the last sentence end that a blank and a further character follow."""
-    return F.regexp_extract(text, r"(?s)^(?:.*[.!?][\"'”’»)\]]*\s)?(.*)\z", 1)
+    Ends of sentences lie on the stack as ``.`` above what is open, at most one more than ``SENTENCES`` in a row.
+    A closing mark takes everything off the stack down to its opening mark; one without an opening mark is
+    left alone, as damage before the end is no cut.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1))
 
+    def step(stack: Column, token: Column) -> Column:
+        first = F.substring(token, 1, 1)
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
+        is_end = token.startswith("</")
+        opener = F.when(is_end, name)
+        for close, begin in {**_CLOSES, **_EITHER}.items():
+            for one in begin:
+                opener = opener.when((token == close) & (F.lit(one == begin[-1]) | F.array_contains(stack, one)), one)
+        # how far from the top of the stack the opening mark is; 0 if it is not there
+        depth = F.coalesce(F.array_position(F.reverse(stack), opener), F.lit(0))
+        half = (first == "<") & ~token.endswith(">")
+        silent = is_end | token.isin(*_CLOSES) | token.endswith("/>") | name.isin(*VOID)
+        is_end_of_sentence = token.rlike(rf"^[{TERMINATORS}]\z")
+        enough = (F.size(stack) == 0) | F.forall(F.slice(stack, -F.least(F.size(stack), F.lit(SENTENCES + 1)), F.lit(SENTENCES + 1)), lambda x: x == ".") & (F.size(stack) > SENTENCES)
+        pushed = F.concat(stack, F.array(F.when(first == "<", name).when(is_end_of_sentence, ".").otherwise(token)))
+        return F.when(is_end_of_sentence & enough, stack).when(half, F.concat(stack, F.array(F.lit("<")))).when(depth > 0, F.slice(stack, F.lit(1), F.size(stack) - depth.cast("int"))).when(silent, stack).otherwise(pushed)
 
-def open_structure(text: Column) -> Column:
-    """Stack of the quotes and brackets still open at the end of a text, as a string."""
-    marks = F.regexp_extract_all(text, F.lit(f"({_STRUCTURE})"), F.lit(1))
-    opening = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}
+    return F.aggregate(tokens, F.array().cast("array<string>"), step)
 
-    def step(stack: Column, mark: Column) -> Column:
-        top = F.substring(stack, F.greatest(F.length(stack), F.lit(1)), F.lit(1))
-        popped = F.substring(stack, F.lit(1), F.greatest(F.length(stack) - 1, F.lit(0)))
-        expected = F.when(top == '"', '"')
-        for o, c in opening.items():
-            expected = expected.when(top == o, c)
-        closes = (mark == expected) & (F.length(stack) > 0)
-        pushes = mark.isin('"', *opening)
-        # a closing mark without its opening one is left alone: earlier damage is no cut
-        return F.when(F.coalesce(closes, F.lit(False)), popped).when(pushes, F.concat(stack, mark)).otherwise(stack)
 
-    return F.aggregate(marks, F.lit(""), step)
+def _label(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract(line, LABEL, 1), r"\d+", "0"))
 
 
 def end_features(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
-    """doc_id, source and what the end of each text shows: marked, broken, terminated, closing_line, opened."""
-    body = F.rtrim(F.col(text), F.lit(" \t\r\n\f\u000b\u00a0"))
+    """doc_id, source and the automaton's end state for each text, with the label of its last line."""
+    body = F.rtrim(F.col(text), F.lit(" \t\r\n\f\u000b "))
     ends = docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), body.alias("body"))
-    line = _line(F.col("body"))
-    closing = F.lit(False)
-    for pattern in CLOSING_LINES:
-        closing = closing | line.rlike(rf"^(?:{pattern})\z")
-    tail = last_sentence(F.col("body"))
-    # patterns at the very end are at most this long, an open tag included
-    end = F.right(F.col("body"), F.lit(TRACE))
-    return ends.select(
+    line = F.trim(F.substring_index("body", "\n", -1))
+    form = F.lit(False)
+    for pattern in CLOSING_FORMS:
+        form = form | line.rlike(rf"^(?:{pattern})\z")
+    terminated = F.col("body").rlike(rf"[{TERMINATORS}][{CLOSERS}]*\z") & ~F.col("body").rlike(r"(?:\s|\()\d+\.\z")
+    stack = open_structure(F.col("body"))
+    return ends.select("doc_id", "source", "body", line.alias("line"), form.alias("form"), terminated.alias("terminated"), stack.alias("stack")).select(
         "doc_id",
         "source",
-        end.rlike(CUT_MARKS).alias("marked"),
-        end.rlike(BROKEN_END).alias("broken"),
-        (end.rlike(rf"[{TERMINATORS}][{CLOSERS}]*\z") & ~end.rlike(r"(?:\s|\()\d+\.\z")).alias("terminated"),
-        closing.alias("closing_line"),
-        # a sentence that is damaged before its end may hold an odd quote; one that is open at its very end is cut
-        (F.length(open_structure(tail)) > 0).alias("opened"),
+        F.col("body").rlike(CUT_MARKS).alias("marked"),
+        (F.col("body").rlike(BROKEN_END) | F.array_contains("stack", "<")).alias("broken"),
+        "terminated",
+        "form",
+        F.when(~F.col("form") & ~F.col("line").rlike(SENTENCE_INSIDE), F.nullif(_label(F.col("line")), F.lit(""))).alias("label"),
+        F.exists(F.slice("stack", -F.greatest(F.least(F.size("stack"), F.lit(SENTENCES + 1)), F.lit(1)), F.lit(SENTENCES + 1)), lambda x: x != ".").alias("opened"),
         (F.col("body") == "").alias("empty"),
         F.length("body").alias("chars"),
         F.xxhash64("body").alias("same"),
         # short, and ends neither inside a list nor after a sentence
-        F.when(F.length("body") <= HEADLINE, ~F.col("body").rlike(SENTENCE_INSIDE) & end.rlike(rf"(?:{_WORD}|[{CLOSERS}%])\z")).otherwise(False).alias("headline"),
-        F.lower(F.regexp_extract(end, rf"({_WORD}+)\z", 1)).alias("last"),
+        F.when(F.length("body") <= HEADLINE, ~F.col("body").rlike(SENTENCE_INSIDE) & F.col("body").rlike(rf"(?:{_WORD}|[{CLOSERS}%])\z")).otherwise(False).alias("headline"),
+        F.when(F.length("body") <= HEADLINE, F.lower(F.regexp_extract("body", rf"({_WORD}+)\z", 1))).otherwise("").alias("last"),
     )
 
 
+def closing_labels(features: DataFrame) -> DataFrame:
+    """(label): labels of last lines that stand in at least ``LABEL_DOCS`` different texts, mostly without a terminator, or are common usage."""
+    learned = features.where(F.col("label").isNotNull()).groupBy("label").agg(F.count_distinct("same").alias("n"), F.count_distinct(F.when(~F.col("terminated"), F.col("same"))).alias("bare"))
+    return learned.where(((F.col("bare") >= LABEL_DOCS) & (2 * F.col("bare") > F.col("n"))) | F.col("label").isin(*USUAL_LABELS)).select("label", F.lit(True).alias("known"))
+
+
+def _with_closing(features: DataFrame) -> DataFrame:
+    """``features`` with closing_line; only rows with a label are joined, so those without are no hot key."""
+    labelled = features.where(F.col("label").isNotNull()).join(closing_labels(features), "label", "left")
+    rest = features.where(F.col("label").isNull()).withColumn("known", F.lit(None).cast("boolean"))
+    return labelled.unionByName(rest).withColumn("closing_line", F.coalesce("form", F.lit(False)) | F.coalesce("known", F.lit(False))).drop("known", "form", "label")
+
+
 def _unended() -> Column:
     """Headline-like texts without terminator, closing line or trace."""
     return F.col("headline") & ~(F.col("terminated") | F.col("closing_line") | F.col("marked") | F.col("broken"))
@@ -113,7 +139,8 @@ def half_words(docs: DataFrame, text: str, features: DataFrame) -> DataFrame:
     """(last, half): last words of headlines that never stand inside a text while longer words that begin like them are at least twice as frequent."""
     lasts = features.where(_unended() & (F.col("last") != "")).groupBy("last").agg(F.count("*").alias("ends"))
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"({_WORD}++)(?!\z)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    begun = words.select(F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(TRACE)))).alias("l"), "word", "n")
+    # no headline's last word is longer than a headline
+    begun = words.select(F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(HEADLINE)))).alias("l"), "word", "n")
     begun = begun.groupBy(F.expr("substring(word, 1, l)").alias("last")).agg(F.max(F.col("l") == F.length("word")).alias("whole"), F.sum("n").alias("n"))
     return lasts.join(begun, "last").where(~F.col("whole") & (F.col("n") >= 2 * F.col("ends"))).select("last", F.lit(True).alias("half"))
 
@@ -130,8 +157,11 @@ def length_limits(features: DataFrame) -> DataFrame:
 
 
 def source_habits(features: DataFrame) -> DataFrame:
-    """(source, loose): whether most of a source's texts are headlines that show no sign of a cut (``plain``)."""
-    return features.groupBy("source").agg(_usual(F.count_if(F.col("plain"))).alias("loose"))
+    """(source, loose, untidy): whether most of a source's texts are headlines that show no sign of a cut (``plain``), and
+    whether so many of its texts that end after a terminator leave structure open that this tells nothing."""
+    ended = F.col("terminated") & ~F.col("marked") & ~F.col("broken")
+    untidy = (F.count_if(ended) >= SAMPLE) & (4 * F.count_if(ended & F.col("opened")) > F.count_if(ended))
+    return features.groupBy("source").agg(_usual(F.count_if(F.col("plain"))).alias("loose"), untidy.alias("untidy"))
 
 
 def _with_source(features: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -154,13 +184,14 @@ def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     """(doc_id, source, truncated, evidence) of every document.
 
     ``evidence`` is the first of: ``mark`` (a continuation mark), ``broken`` (half a character,
-    escape or tag), ``open`` (an open quote or bracket in a terminated last sentence), ``unfinished``
-    (neither terminator nor closing line, nor a headline in a source of headlines); null if the text is whole.
+    escape or tag), ``open`` (the stack of tags, quotes and brackets is not empty, unless the source leaves
+    it so in more than a quarter of its finished texts), ``unfinished`` (neither terminator nor closing line, nor a
+    headline in a source of headlines); null if the text is whole.
 
     Defined cases: null and empty texts are not truncated; null sources form one source;
     repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    features = _plain(docs, text, cut(end_features(docs, doc, text, source)))
+    features = _plain(docs, text, _with_closing(cut(end_features(docs, doc, text, source))))
     joined = _with_source(features, source_habits(features))
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
     finished = f("terminated") | f("closing_line")
@@ -168,9 +199,8 @@ def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
         F.when(F.col("empty") | F.col("empty").isNull(), F.lit(None).cast("string"))
         .when(f("marked"), "mark")
         .when(f("broken") & ~f("closing_line"), "broken")
-        .when(f("terminated") & f("opened"), "open")
+        .when(f("opened") & ~f("untidy"), "open")
         .when(~finished & ~(f("loose") & f("plain")), "unfinished")
-        .when(~finished & f("opened"), "open")
     )
     return joined.select("doc_id", "source", evidence.isNotNull().alias("truncated"), evidence.alias("evidence"))
 
