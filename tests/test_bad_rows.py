@@ -72,3 +72,15 @@ def test_empty_and_repeated(spark):
     assert B.rejected_records(empty).count() == 0 and B.valid_records(empty).count() == 0
     df = spark.createDataFrame([(1, "v", "csv", "x", None, "")] * 2, SCHEMA)
     assert B.rejected_records(df).count() == 2
+
+
+def test_offsets_of_faults(spark, monkeypatch):
+    monkeypatch.setattr(B, "PORTION", 40)
+    rows = [
+        ("labelled", GOOD.replace("2001", "20O1")), ("labelled", GOOD.replace("Title", "Titel")), ("labelled", GOOD + "a: b"), ("labelled", GOOD + "--\n\nmore"), ("labelled", "Year: 2001\nTitle: x"),
+        ("csv", "2001,t,l,a,k"), ("csv", "2001,t,l,a,k,z,more"), ("csv", "2001,t,l,\x07,k,z"), ("csv", "20 1,t,l,a,k,z"), (None, GOOD), ("labelled", None),
+    ]
+    got = parsed(spark, rows)
+    text = lambda i: rows[i][1]
+    want = [5, text(1).index("Titel"), len(GOOD), text(3).index("more"), len(text(4)), len(text(5)), text(6).index("more"), text(7).index("\x07"), 0, 0, 0]
+    assert [got[i]["fault_at"] for i in range(len(rows))] == want

@@ -8,7 +8,8 @@ true start state; a second pass then knows the state before each character. A ve
 record therefore costs no more per character than short ones, and its work is not serial.
 
 The machine reports only positions (ends of fields or lines, first colons, the offset of a
-quoting fault). Cutting out values and checking them stays in SQL expressions.
+quoting fault). Cutting out values and checking them stays in SQL expressions. Records are handed to the
+machine in portions of a bounded number of characters; a longer record is a portion of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ OTHER, QUOTE, COMMA, LF, CR, COLON, BLANK, BEGIN_CSV, BEGIN_LABELLED = range(9)
 # states: of comma-separated records, then of labelled ones
 C_START, C_PLAIN, C_QUOTED, C_CLOSING, C_BROKEN, L_LABEL, L_BEFORE, L_PLAIN, L_QUOTED, L_CLOSED = range(10)
 N_STATES, N_CLASSES, CHUNK = 10, 9, 128
+#: Characters of one portion.
+PORTION = 1 << 22
 
 
 def _transitions() -> np.ndarray:
@@ -64,20 +68,20 @@ def states_before(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     parts = max(1, -(-n // chunk))
     grid = np.full(parts * chunk, BEGIN_CSV, np.uint8)
     grid[:n] = classes
-    grid = np.ascontiguousarray(grid.reshape(parts, chunk).T).astype(np.intp)
-    flat = TRANSITIONS.ravel()
+    grid = np.ascontiguousarray(grid.reshape(parts, chunk).T)
+    flat = TRANSITIONS.ravel()  # state * N_CLASSES + class stays below 256: no wider numbers are needed
     vector = np.broadcast_to(np.arange(N_STATES, dtype=np.uint8), (parts, N_STATES))
     for row in grid:
-        vector = flat[vector.astype(np.intp) * N_CLASSES + row[:, None]]
+        vector = flat[vector * np.uint8(N_CLASSES) + row[:, None]]
     step, scanned = 1, vector
     while step < parts:
         scanned = np.concatenate([scanned[:step], np.take_along_axis(scanned[step:], scanned[:-step].astype(np.intp), 1)])
         step *= 2
-    state = np.concatenate([[C_START], scanned[:-1, C_START]]).astype(np.intp)
+    state = np.concatenate([[C_START], scanned[:-1, C_START]]).astype(np.uint8)
     before = np.empty((chunk, parts), np.uint8)
     for i, row in enumerate(grid):
         before[i] = state
-        state = flat[state * N_CLASSES + row].astype(np.intp)
+        state = flat[state * np.uint8(N_CLASSES) + row]
     return before.T.ravel()[:n]
 
 
@@ -122,10 +126,20 @@ def tokenise(texts: list[str], is_csv: np.ndarray) -> tuple[np.ndarray, ...]:
     return offsets, starts - base, ends - base, np.where(colons < 0, -1, colons - base), first(fault), first(bare)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most ``PORTION`` characters, or one record."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("raw")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + PORTION, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _portions(batches):
         is_csv = np.array([x == "csv" for x in batch.column("layout").to_pylist()])
         # line breaks that end a comma-separated record end it and are no content
         texts = [(x or "").rstrip("\r\n") if c else (x or "") for x, c in zip(batch.column("raw").to_pylist(), is_csv)]
@@ -152,8 +166,8 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
     ``raw`` needs raw_id, file_name, layout (``csv`` or ``labelled``), raw and loaded_at; other
     columns are ignored. Result: raw_id, file_name, raw, loaded_at, year, title, link, uri, abstract, keywords,
-    author, conf_name, reason (null: valid) and fault_at (character offset of the fault, null
-    where the fault is a missing part or an invalid value).
+    author, conf_name, reason (null: valid) and fault_at, the character offset of the fault: of the broken quote, of
+    the first field or line that is surplus, mislabelled or out of order (the record's end if one is missing), or of the invalid value.
 
     Defined cases: a null or empty record, and a null or unknown layout, have the reason
     ``columns``; a bare line break inside a comma-separated record gives ``columns``, line
@@ -195,7 +209,16 @@ def parse_records(raw: DataFrame) -> DataFrame:
         .when(~_letters(value["abstract"]), "abstract")
         .when(~_letters(value["author"]), "author")
     )
-    fault_at = F.when(known & (F.col("fault") >= 0), F.col("fault")).when(known & (F.col("bare") >= 0), F.col("bare"))
+    end = F.coalesce(F.length("raw"), F.lit(0))
+    # the first of the six lines whose label is wrong, else the first one after them that may not be there
+    wrong = [F.when(~F.coalesce(F.get("labels", F.lit(i)) == name, F.lit(False)), F.get("starts", F.lit(i))) for i, name in enumerate(FIELDS)]
+    rows_after = F.slice(F.zip_with("starts", "values", lambda s, v: F.struct(s.alias("s"), v.alias("v"))), 8, F.greatest(n, F.lit(8)))
+    surplus = F.when(F.get("colons", F.lit(6)) >= 0, F.get("starts", F.lit(6))).otherwise(F.get(F.filter(rows_after, lambda x: x["v"] != ""), F.lit(0))["s"])
+    shape_at = F.when(F.col("layout") == "csv", F.when(F.col("bare") >= 0, F.col("bare")).when(n > 6, F.get("starts", F.lit(6)))).when(F.col("layout") == "labelled", F.coalesce(*wrong, surplus)).otherwise(F.lit(0))
+    value_at = lambda i: F.when(F.get("colons", F.lit(i)) >= 0, F.get("colons", F.lit(i)) + 1).otherwise(F.get("starts", F.lit(i)))
+    fault_at = F.when(reason == "quoting", F.col("fault")).when(reason == "columns", F.least(F.coalesce(shape_at, end), end))
+    for i, name in enumerate(FIELDS):
+        fault_at = fault_at.when(reason == name, value_at(i))
     link_line = F.when(F.col("layout") == "csv", F.concat(F.lit("link: "), value["link"])).otherwise(
         F.rtrim(part(F.get("starts", F.lit(2)), F.get("ends", F.lit(2))))
     )
@@ -218,9 +241,11 @@ def parse_records(raw: DataFrame) -> DataFrame:
     )
 
 
-def valid_records(raw: DataFrame) -> DataFrame:
-    """The valid records as columns of bib_records; raw_id becomes rec_id."""
+def valid_records(raw: DataFrame, typed: bool = False) -> DataFrame:
+    """The valid records as columns of bib_records; raw_id becomes rec_id. ``typed``: year as a number instead of the source's string."""
     good = parse_records(raw).where(F.col("reason").isNull())
+    if typed:
+        good = good.withColumn("year", F.col("year").cast("int"))
     return good.select(F.col("raw_id").alias("rec_id"), *FIELDS[:3], "uri", *FIELDS[3:], "conf_name", "loaded_at")
 
 

@@ -20,6 +20,17 @@ def p1_valid(spark: SparkSession, d: str) -> DataFrame:
     return bad_rows.valid_records(_table(spark, d, "bib_raw")).select("rec_id", "year", "title", "abstract", "keywords", "author", "conf_name")
 
 
+def p1_typed(spark: SparkSession, d: str) -> DataFrame:
+    good = bad_rows.valid_records(_table(spark, d, "bib_raw"), typed=True)
+    return good.groupBy("year", "conf_name").agg(F.count("*").alias("records"), F.sum(F.length("title")).alias("title_chars"))
+
+
+def p1_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Faulty records with the offset of their fault and the text from there."""
+    bad = bad_rows.rejected_records(_table(spark, d, "bib_raw"))
+    return bad.select("raw_id", "reason", "fault_at", F.expr("substring(raw, fault_at + 1, 20)").alias("from_there"))
+
+
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     parsed = bad_rows.parse_records(_table(spark, d, "bib_raw"))
     return parsed.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
@@ -34,7 +45,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return packed_values(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p1_reasons": p1_reasons, "p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p1_typed": p1_typed, "p1_offsets": p1_offsets, "p1_reasons": p1_reasons, "p3_found": p3_found}
 
 #: Quotes mask commas: even pieces between quotes have theirs replaced by a mark.
 _P1 = r"""
@@ -58,6 +69,10 @@ judged AS (SELECT raw_id, CASE WHEN bad_quotes THEN 'quoting' WHEN bad_shape THE
     WHEN NOT regexp_matches(v[4], '\p{L}') OR regexp_matches(v[4], '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]') THEN 'abstract'
     WHEN NOT regexp_matches(v[6], '\p{L}') OR regexp_matches(v[6], '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]') THEN 'author' END AS reason FROM every_row)
 """
+_P1_VALID = _P1 + r"""
+, good AS (SELECT b.raw_id AS rec_id, trim(e.v[1], chr(32) || chr(9)) AS year, e.v[2] AS title, e.v[4] AS abstract, e.v[5] AS keywords, e.v[6] AS author, regexp_extract(file_name, '^([^_.]+)', 1) AS conf_name
+  FROM bib_raw b JOIN every_row e ON e.raw_id = b.raw_id JOIN judged j ON j.raw_id = b.raw_id WHERE j.reason IS NULL)
+"""
 _FAMILY_SQL = r"^(?:\S+|(?:(?i:van|von|de|del|della|der|den|di|da|dos|du|la|le|ten|ter|zu)|v\.|d\.)\s+\S.*)$"
 #: Values of packed fields: hard delimiters become chr(1), commas between names chr(2), outside quotes only.
 PACKED_SQL = rf"""
@@ -75,6 +90,8 @@ packed AS (SELECT rec_id, field, CAST(row_number() OVER (PARTITION BY rec_id, fi
 """
 ORACLE: dict[str, str] = {
     "p1_found": _P1 + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p1_valid": _P1_VALID + "SELECT rec_id, year, title, abstract, keywords, author, conf_name FROM good",
+    "p1_typed": _P1_VALID + "SELECT CAST(year AS INTEGER) AS year, conf_name, count(*) AS records, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM good GROUP BY ALL",
     "p1_reasons": _P1 + "SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM judged GROUP BY ALL",
     "p3_found": f"WITH {PACKED_SQL} SELECT rec_id, field, pos, val FROM packed",
 }

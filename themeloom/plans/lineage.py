@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves a local master; on a cluster it is an error.
+    """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="themeloom-checkpoint-"))
         current = sc.getCheckpointDir()
     return current
@@ -42,16 +47,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Number of partitions for shuffles that AQE does not coalesce (before Python stages)."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of a plan's result; very large where nothing is known."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Split a narrow scan over the executors where the input has too few parts for them.
+def spread(df: DataFrame) -> DataFrame:
+    """Split a small table of few files over the cores before work in Python; any other table stays as it is read.
 
-    Text work in Python costs far more than moving its input; without this a table of a
-    few small files is read by a few tasks only.
+    A scan has a part for every file or ``spark.sql.files.maxPartitionBytes`` of one, so only an input of
+    fewer files than cores that is also smaller than one such part per core leaves cores idle. What moves is
+    therefore bounded by the cores, not by the data.
     """
-    width = shuffle_width(df.sparkSession)
-    return df.repartition(width, *columns) if columns else df.repartition(width)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
+    if input_bytes(df) >= cores * part or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(cores)
