@@ -180,6 +180,15 @@ def test_winnowing_guarantee():
         assert set(leaks.winnow(a)[1]) & set(leaks.winnow(b)[1])
 
 
+def test_many_open_passages():
+    # forty repetitions of one phrase before the passage: every diagonal stays open
+    item = np.arange(100, 160, dtype=np.uint64)
+    doc = np.concatenate([np.concatenate([item[a : a + 5] for a in range(0, 40, 5)] * 5), np.array([7] * 30, np.uint64), item])
+    hits = [(int(i), int(j)) for i in range(len(doc) - 2) for j in range(58) if (doc[i : i + 3] == item[j : j + 3]).all()]
+    sizes = leaks.passages(doc, item, np.array([h[0] for h in hits]), np.array([h[1] for h in hits]))
+    assert sizes[0] == 60
+
+
 def test_leaks(spark):
     vocabulary = [f"word{i}" for i in range(500)]
     rng = random.Random(10)
@@ -192,9 +201,13 @@ def test_leaks(spark):
     }
     corpus = spark.createDataFrame([(k, v, "s", 1) for k, v in docs.items()], "doc_id bigint, text string, source string, item_id int")
     items = spark.createDataFrame([(77, " ".join(item)), (78, other(50)), (79, "a b"), (80, None)], "item_id bigint, text string")
-    for block in (20_000, 2):
-        got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(corpus, items, block_items=block).collect()}
+    for hits, stock in ((1, 64), (1, None), (2, 64)):
+        got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(corpus, items, min_hits=hits, stock_items=stock).collect()}
         assert got == {(d, 77) for d in (1, 3, 5, 6, 11, 12)}
+    # stock wording alone is no leak, but counts in a leak that other words show
+    many = spark.createDataFrame([(100 + i, " ".join(item[:20]) + " " + other(20)) for i in range(6)], "item_id bigint, text string").union(items)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(corpus, many, stock_items=4).collect()}
+    assert got == {(d, 77) for d in (1, 3, 5, 6, 11, 12)}
     assert leaks.find_leaks(corpus, items.limit(0)).count() == 0 and leaks.find_leaks(corpus.limit(0), items).count() == 0
 
 

@@ -60,22 +60,36 @@ def open_structure(text: Column) -> Column:
     """
     tokens = F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1))
 
-    def step(stack: Column, token: Column) -> Column:
-        first = F.substring(token, 1, 1)
-        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
-        is_end = token.startswith("</")
-        opener = F.when(is_end, name)
-        for close, begin in {**_CLOSES, **_EITHER}.items():
-            for one in begin:
-                opener = opener.when((token == close) & (F.lit(one == begin[-1]) | F.array_contains(stack, one)), one)
+    def taken_off(stack: Column, opener: Column, otherwise: Column) -> Column:
         # how far from the top of the stack the opening mark is; 0 if it is not there
         depth = F.coalesce(F.array_position(F.reverse(stack), opener), F.lit(0))
-        half = (first == "<") & ~token.endswith(">")
-        silent = is_end | token.isin(*_CLOSES) | token.endswith("/>") | name.isin(*VOID)
-        is_end_of_sentence = token.rlike(rf"^[{TERMINATORS}]\z")
-        enough = (F.size(stack) == 0) | F.forall(F.slice(stack, -F.least(F.size(stack), F.lit(SENTENCES + 1)), F.lit(SENTENCES + 1)), lambda x: x == ".") & (F.size(stack) > SENTENCES)
-        pushed = F.concat(stack, F.array(F.when(first == "<", name).when(is_end_of_sentence, ".").otherwise(token)))
-        return F.when(is_end_of_sentence & enough, stack).when(half, F.concat(stack, F.array(F.lit("<")))).when(depth > 0, F.slice(stack, F.lit(1), F.size(stack) - depth.cast("int"))).when(silent, stack).otherwise(pushed)
+        return F.when(depth > 0, F.slice(stack, F.lit(1), F.size(stack) - depth.cast("int"))).otherwise(otherwise)
+
+    def of_tag(stack: Column, token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
+        pushed = F.when(token.endswith("/>") | name.isin(*VOID), stack).otherwise(F.concat(stack, F.array(name)))
+        return F.when(~token.endswith(">"), F.concat(stack, F.array(F.lit("<")))).when(token.startswith("</"), taken_off(stack, name, stack)).otherwise(pushed)
+
+    def of_mark(stack: Column, token: Column) -> Column:
+        branch = None
+        for close, begin in _CLOSES.items():
+            off = taken_off(stack, F.lit(begin), stack)
+            branch = F.when(token == close, off) if branch is None else branch.when(token == close, off)
+        pushed = F.concat(stack, F.array(token))
+        for close, begin in _EITHER.items():
+            off = pushed
+            for one in reversed(begin):
+                off = taken_off(stack, F.lit(one), off)
+            branch = branch.when(token == close, off)
+        return branch.otherwise(pushed)
+
+    def of_end(stack: Column, token: Column) -> Column:
+        top = F.slice(stack, -F.least(F.size(stack), F.lit(SENTENCES + 1)), F.lit(SENTENCES + 1))
+        return F.when((F.size(stack) > SENTENCES) & F.forall(top, lambda x: x == "."), stack).otherwise(F.concat(stack, F.array(F.lit("."))))
+
+    def step(stack: Column, token: Column) -> Column:
+        ends = token.isin(*TERMINATORS)
+        return F.when(ends & (F.size(stack) == 0), stack).when(ends, of_end(stack, token)).when(token.startswith("<"), of_tag(stack, token)).otherwise(of_mark(stack, token))
 
     return F.aggregate(tokens, F.array().cast("array<string>"), step)
 
