@@ -145,8 +145,9 @@ def test_planted_subjects(spark):
     df = spark.createDataFrame([*rows, *rows[:50], (1, None, 1, "c", 1), (5, 3, 0, "c", 2)], "doc_id bigint, w int, n bigint, corpus string, cell int")
     got = {r["doc_id"]: r["rep_id"] for r in subjects.cluster_documents(df).collect()}
     assert got == {d: d % 3 for d in range(90)}
-    report = {r["rep_id"]: r for r in subjects.describe_clusters(subjects.cluster_documents(df), df).collect()}
-    assert report[0]["size"] == 30 and len(report[0]["typical_docs"]) == 5
+    report = {r["rep_id"]: r for r in subjects.describe_clusters(df).collect()}
+    assert report[0]["size"] == 30 and len(report[0]["typical_docs"]) == 5 and all(x % 3 == 0 for x in report[0]["typical_docs"])
+    assert all(w < 12 for w in report[0]["top_terms"])
     assert subjects.cluster_documents(df.limit(0)).count() == 0
 
 

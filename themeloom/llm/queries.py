@@ -33,8 +33,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_subjects(spark: SparkSession, d: str) -> DataFrame:
-    tf = _table(spark, d, "tf")
-    return subjects.describe_clusters(subjects.cluster_documents(tf), tf)
+    return subjects.describe_clusters(_table(spark, d, "tf"))
 
 
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
