@@ -37,12 +37,37 @@ def test_cosine_join_is_exact(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcd") for _ in range(6)) for _ in range(60)]
     nodes = spark.createDataFrame([(i, "b", w) for i, w in enumerate(words)], "node bigint, block string, text string")
-    vectors = names.ngram_vectors(nodes, "node", "text", "block")
+    vectors = names.ngram_vectors(nodes, "node", "block", {"f:": (names._words_grams(F.col("text")), F.lit(1.0))})
     table = defaultdict(dict)
     for r in vectors.collect():
         table[r["node"]][r["gram"]] = r["v"]
     want = {(a, b) for a, b in itertools.combinations(range(60), 2) if sum(v * table[b].get(g, 0) for g, v in table[a].items()) >= 0.4}
     assert {(r["a"], r["b"]) for r in names.cosine_join(vectors, "node", "block", 0.4).collect()} == want
+    cosine = {(r["a"], r["b"]): r["cosine"] for r in names.cosine_join(vectors, "node", "block", 0.4).collect()}
+    nearest = set()
+    for i in range(60):
+        nearest |= set(sorted((p for p in cosine if i in p), key=lambda p: (-cosine[p], p))[:2])
+    got = {(r["a"], r["b"]) for r in names.cosine_join(vectors, "node", "block", 0.4, 2, 0.8).collect()}
+    assert got == nearest | {p for p, c in cosine.items() if c >= 0.8}
+
+
+def test_short_forms_are_learned(spark):
+    rng = random.Random(16)
+    forms = {"wolfgang": "poldi", "aurelio": "tuccio", "brigid": "delia", "ludmila": "mika", "evander": "zan", "hortense": "tessie"}
+    others = "oscar yvonne ramon ingeborg kiran noriko boris chandra emeka farid gudrun hiroshi jana lukas mehmet olga priya quentin rosa sven tamar ulrike viktor xenia".split()
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    rows, who = [], {}
+    for person in range(400):
+        family = "".join(rng.choices(syllables, k=4)) + "mond"
+        given = rng.choice([*forms, *others])
+        typo = family[:2] + family[3] + family[2] + family[4:]
+        for spelled in {f"{given.title()} {family.title()}", f"{family.title()}, {given[0].upper()}.", f"{given.title()} {typo.title()}", f"{forms.get(given, given).title()} {family.title()}"}:
+            who[len(rows)] = person
+            rows.append((spelled, f"University of Place{'abcdefghij'[person % 10] * 3}"))
+    want = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if who[a] == who[b]}
+    df = spark.createDataFrame([(i, n, a) for i, (n, a) in enumerate(rows)], "name_id bigint, name string, affiliation string")
+    got = {tuple(r) for r in names.name_pairs(names.link_names(df, short_forms={})).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
 def slow_linkage(n, sims, threshold):

@@ -1,12 +1,15 @@
 """Variant spellings of names typed by people.
 
-Spellings become weighted vectors of character n-grams (term frequency times inverse
-document frequency). A sparse similarity join finds pairs above a cosine threshold inside
-a block of a reliable attribute (here the place of the affiliation). It is exact: with the
-n-grams of each vector ordered from rare to common, two vectors above the threshold share
-an n-gram among the first few, so only these are joined, and the common n-grams, whose
-lists are long, never meet. An exact comparison of name parts turns candidates into scores;
-average-linkage clustering groups them.
+Spellings become weighted vectors of character n-grams of the whole name: of the family name, and with less
+weight of the given name and its initial, each by frequency and rarity. A sparse similarity join finds
+for every spelling its nearest ones above a cosine threshold inside a block of a reliable attribute (here the
+place of the affiliation). It is exact: with the n-grams of each vector ordered from rare to common, two vectors above the
+threshold share an n-gram among the first few, so only these are joined, and the common n-grams, whose
+lists are long, never meet. A check of name parts in SQL takes out pairs whose given names contradict each other;
+average-linkage clustering over the remaining cosines groups the spellings.
+
+Short forms of given names that share few letters with the full form are learned from the table itself: pairs of given
+names that occur with the same family name at the same place far more often than chance. A list of common ones may be added.
 
 Average linkage merges pairs that are each other's nearest; as it is reducible, all such
 pairs can merge in one round and give the same tree as one merge at a time. Each round is
@@ -18,32 +21,32 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.plans.lineage import cut, spread
+from themeloom.llm import cooccurrence
+from themeloom.plans.lineage import cut
 
 #: Words of affiliations that are not the place.
 GENERIC = frozenset("the of for and at in de university univ institute institut inst technology tech technical academy acad science sciences sci lab labs laboratory laboratories research center centre department dept school college".split())
 #: Words that mark a body instead of a person.
 BODY = re.compile(r"\b(?:inst|institute?|institut|stud|studies|university|univ|laborator\w*|labs?|academy|acad|group|cent(?:er|re)|dept|department|consortium|society|council|agency)\b")
 PARTICLES = frozenset("van von de del della der den di da dos du la le ten ter zu v d".split())
-#: Short forms of given names, by full form.
+#: Common English short forms of given names, by full form; a default that callers may replace.
 SHORT_FORMS = {
-    "agnes": "aggie nessa", "alexander": "alex alec sandy sascha sasha xander", "anthony": "tony ant", "benjamin": "ben benny benji", "boris": "borya", "charles": "chuck charlie chas", "christopher": "chris kit", "claudia": "claudi", "daniel": "dan danny",
-    "deborah": "debbie deb debby", "denis": "denny", "dmitri": "dima mitya", "edward": "ed eddie ned ted teddy", "ekaterina": "katya kate katja", "eleanor": "ellie nell nora ella", "elizabeth": "liz beth betty lizzie eliza libby", "elsa": "else", "fabio": "fab", "francisco": "paco pancho frank kiko",
-    "friedrich": "fritz fred", "gerda": "gerti", "gregory": "greg", "guadalupe": "lupe lupita", "henry": "hank harry hal", "hugo": "huey", "ingrid": "inga", "irena": "ira irenka", "james": "jim jamie jimmy", "jennifer": "jen jenny jenn", "johannes": "hans jo jan", "jorge": "coque",
-    "joseph": "joe joey beppe sepp", "katherine": "kathy kate katie kit", "klaus": "claus", "lena": "leni", "margaret": "peggy maggie meg greta marge", "marta": "martha", "michael": "mike mick mickey misha", "mirko": "miro", "nadia": "nadya", "nicholas": "nick", "olivier": "oli", "oscar": "ossi",
-    "patricia": "pat patty tricia trish", "paula": "pauli", "pavel": "pasha", "quentin": "quin", "rebecca": "becky becca", "renee": "rene", "richard": "rick dick rich richie", "robert": "bob rob bobby robbie bert", "rosa": "rosie", "samuel": "sam sammy", "soren": "sorn", "stefan": "steff steve",
-    "susan": "sue susie suzy", "tamara": "tam toma", "theodore": "theo ted", "thomas": "tom tommy", "tomas": "tom", "ulla": "ulli", "vera": "verochka", "victoria": "vicky tori vic", "walter": "walt wally", "william": "bill will billy liam", "yusuf": "yusef", "zoltan": "zoli",
+    "abigail": "abby", "abraham": "abe", "albert": "al bert", "alexander": "alex sandy xander", "alexandra": "alex sandra", "alfred": "alf fred", "andrew": "andy drew", "anthony": "tony", "arthur": "art", "barbara": "barb", "benjamin": "ben benny", "bernard": "bernie",
+    "catherine": "cathy kate katie", "charles": "charlie chuck", "christine": "chris tina", "christopher": "chris kit", "cynthia": "cindy", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "donald": "don", "dorothy": "dot", "edward": "ed eddie ned ted", "eleanor": "ellie nell",
+    "elizabeth": "beth betty eliza liz", "eugene": "gene", "frances": "fran", "francis": "frank", "frederick": "fred", "gabriel": "gabe", "gerald": "gerry jerry", "gregory": "greg", "harold": "hal harry", "henry": "hal hank harry", "isabella": "bella", "jacob": "jake", "james": "jamie jim jimmy", "jeffrey": "jeff",
+    "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon", "joseph": "joe", "joshua": "josh", "judith": "judy", "katherine": "kate kathy katie", "kenneth": "ken", "lawrence": "larry", "leonard": "len", "margaret": "maggie meg peggy", "matthew": "matt", "michael": "mick mickey mike", "nathaniel": "nat nate",
+    "nicholas": "nick", "pamela": "pam", "patricia": "pat patty trish", "patrick": "pat paddy", "peter": "pete", "philip": "phil", "raymond": "ray", "rebecca": "becca becky", "richard": "dick rich rick", "robert": "bob bobby rob", "ronald": "ron", "samuel": "sam", "stephen": "steve", "steven": "steve",
+    "susan": "sue susie", "theodore": "ted theo", "theresa": "terry tess", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "vincent": "vince", "walter": "walt", "william": "bill billy liam will", "zachary": "zach",
 }
-LONG_FORMS: dict[str, frozenset[str]] = {}
-for _full, _short in SHORT_FORMS.items():
-    for _name in _short.split():
-        LONG_FORMS[_name] = LONG_FORMS.get(_name, frozenset()) | {_full}
+#: Least number of places where two given names share a family name, and how much more often than chance, for one to be a form of the other.
+LEARN_FROM, LEARN_LIFT = 3, 10.0
+#: Share of the family name in a vector's squared length, and of the initial in that of a given name.
+FAMILY_SHARE, INITIAL_SHARE = 0.7, 0.5
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "’": "'"})
 
 NODE = "block string, family string, wide string, given string, middle string, body boolean"
@@ -109,111 +112,39 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def edits(a: str, b: str, most: int = 2) -> int:
-    """Edit distance with transpositions, most + 1 if larger than ``most``."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return min(row[-1], most + 1)
-
-
-@lru_cache(1 << 16)
-def _given(a: str, b: str) -> tuple[float, int]:
-    """Score and edits of two given names; a score of 0 is a conflict."""
-    if not a or not b:
-        return 0.6, 0
-    full_a, full_b = LONG_FORMS.get(a, frozenset()) | {a}, LONG_FORMS.get(b, frozenset()) | {b}
-    if len(a) == 1 or len(b) == 1:
-        if {x[0] for x in full_a} & {x[0] for x in full_b}:
-            return (0.85 if len(a) == len(b) else 0.75), 0
-        return 0.0, 0
-    if full_a & full_b:
-        return (1.0 if a == b else 0.95), 0
-    d = min(edits(x, y) for x in full_a for y in full_b)
-    if d == 1 and min(len(a), len(b)) > 2:
-        return 0.9, 1
-    if d == 2 and min(len(a), len(b)) > 4:
-        return 0.7, 2
-    return 0.0, d
-
-
-def score(a: tuple, b: tuple) -> float:
-    """Likeness of two parsed names, 0 for a conflict; each is (family, wide, given, middle, body)."""
-    if a[4] != b[4]:
-        return 0.0
-    if a[4]:
-        if not a[0] or not b[0]:
-            return 0.9 if a[2] == b[2] else 0.0
-        d = edits(a[0], b[0], 3)
-        return 1.0 - d / 12 if d <= 3 else 0.0
-    best = 0.0
-    for x, y in {(a[0], b[0]), (a[1], b[0]), (a[0], b[1])}:
-        if not x or not y:
-            continue
-        d = edits(x, y)
-        if d > 2 or d == 2 and min(len(x), len(y)) < 6:
-            continue
-        given, e = _given(a[2], b[2])
-        if not given or d + e > 2 and not (d + e == 3 and min(len(x), len(y)) > 8):
-            continue
-        middle = 1.0
-        if a[3] and b[3] and x == a[0] and y == b[0]:
-            m, _ = _given(a[3], b[3])
-            middle = 1.0 if m else 0.3
-        best = max(best, (1.0, 0.9, 0.75)[d] * given * middle)
-    return best
-
-
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = {n: i for i, n in enumerate(batch.schema.names)}
-        side = lambda s: zip(*[batch.column(at[f"{c}_{s}"]).to_pylist() for c in ("family", "wide", "given", "middle", "body")])  # noqa: B023, E731
-        scores = [score(a, b) for a, b in zip(side("a"), side("b"))]
-        yield pa.RecordBatch.from_arrays([batch.column(at["a"]), batch.column(at["b"]), pa.array(scores, pa.float64())], names=["a", "b", "s"])
+def _grams(word: Column, size: int = 2) -> Column:
+    padded = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))
 
 
-def ngram_vectors(nodes: DataFrame, key: str, text: str, block: str, extra: str | None = None, size: int = 2) -> DataFrame:
-    """(block, key, gram, df, v): unit vectors of character n-grams of each word, weighted by frequency and rarity.
+def _words_grams(text: Column, size: int = 2) -> Column:
+    return F.flatten(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: _grams(w, size)))
 
-    Rarity is damped by a root: n-grams that a typing error makes are the rarest of all and would
-    otherwise outweigh those that two spellings share. ``extra`` is one more column whose whole
-    value is a feature of its own.
-    """
 
-    def of_word(word):
-        padded = F.concat(F.lit("^"), word, F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))
+def ngram_vectors(nodes: DataFrame, key: str, block: str, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(block, key, gram, df, v): unit vectors of the n-grams of several parts of a name.
 
-    grams = F.flatten(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), of_word))
-    if extra:
-        grams = F.concat(grams, F.when(F.col(extra) != "", F.array(F.concat(F.lit("="), F.col(extra)))).otherwise(F.array().cast("array<string>")))
-    counts = nodes.select(block, key, F.explode(grams).alias("gram")).groupBy(block, key, "gram").agg(F.count("*").alias("n"))
+    ``parts``: by prefix, the array of a part's n-grams and the part's share of the squared length; a part without n-grams
+    leaves its share to the others. Within a part n-grams weigh by frequency and rarity. Rarity is damped by a
+    root: n-grams that a typing error makes are the rarest of all and would otherwise outweigh those that two spellings share.
+    """
+    listed = F.flatten(F.array(*[F.transform(grams, lambda g: F.struct(F.lit(p).alias("part"), F.concat(F.lit(p), g).alias("gram"), share.alias("share"))) for p, (grams, share) in parts.items()]))  # noqa: B023
+    counts = nodes.select(block, key, F.explode(listed).alias("g")).groupBy(block, key, F.col("g.part").alias("part"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("n"), F.max("g.share").alias("share"))
+    counts = cut(counts)
     lists = counts.groupBy("gram").agg(F.count("*").alias("df"))
     total = nodes.count()
-    # a whole-value feature is as telling as all n-grams of a name together
-    boost = F.when(F.col("gram").startswith("="), F.lit(3.0)).otherwise(F.lit(1.0))
-    weighted = counts.join(lists, "gram").withColumn("v", F.sqrt(F.col("n") * F.log(1.0 + F.lit(float(total)) / F.col("df"))) * boost)
-    norm = Window.partitionBy(block, key)
-    return weighted.select(block, key, "gram", "df", (F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(norm))).alias("v"))
+    weighted = counts.join(lists, "gram").withColumn("v2", F.col("n") * F.log(1.0 + F.lit(float(total)) / F.col("df")))
+    of_part, of_name = Window.partitionBy(block, key, "part"), Window.partitionBy(block, key)
+    shared = weighted.withColumn("v2", F.col("v2") / F.sum("v2").over(of_part) * F.col("share"))
+    return shared.select(block, key, "gram", "df", F.sqrt(F.col("v2") / F.sum("v2").over(of_name)).alias("v"))
 
 
-def cosine_join(vectors: DataFrame, key: str, block: str, threshold: float) -> DataFrame:
-    """(a, b, cosine) of all pairs within a block at or above ``threshold``; a < b.
+def cosine_join(vectors: DataFrame, key: str, block: str, threshold: float, top: int | None = None, sure: float = 2.0) -> DataFrame:
+    """(a, b, cosine) of pairs within a block at or above ``threshold``; a < b.
 
     Ordered from rare to common, features whose remaining squared weight is below the squared
-    threshold cannot alone make a pair, so only the features before them are joined.
+    threshold cannot alone make a pair, so only the features before them are joined. ``top``: pairs that are
+    not among the ``top`` nearest of either side are left out; never those at or above ``sure``.
     """
     rare_first = Window.partitionBy(block, key).orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     prefix = vectors.withColumn("rest", F.sum(F.col("v") * F.col("v")).over(rare_first)).where(F.col("rest") >= threshold * threshold - 1e-9)
@@ -223,7 +154,67 @@ def cosine_join(vectors: DataFrame, key: str, block: str, threshold: float) -> D
     packed = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gram", "v"))).alias("m"))
     both = candidates.join(packed.select(F.col(key).alias("a"), F.col("m").alias("ma")), "a").join(packed.select(F.col(key).alias("b"), F.col("m").alias("mb")), "b")
     dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("mb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    near = both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    if top is None:
+        return near
+    near = cut(near)
+    sides = near.select("a", "b", "cosine", F.explode(F.array("a", "b")).alias("of"))
+    ranked = sides.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("cosine"), "a", "b")))
+    return ranked.where((F.col("r") <= top) | (F.col("cosine") >= sure)).select("a", "b", "cosine").distinct()
+
+
+def learned_forms(nodes: DataFrame, least: int = LEARN_FROM, lift: float = LEARN_LIFT) -> DataFrame:
+    """(name, form): given names that stand with one family name at one place far more often than by chance, in both directions.
+
+    These are short forms and their full forms: two people of a family rarely have the same two given names elsewhere.
+    """
+    full = nodes.where(~F.col("body") & (F.length("given") > 1) & (F.length("family") > 3))
+    pairs = cooccurrence.pair_lift(full.select(F.struct("block", "family").alias("group"), "given"), "group", "given", min_together=least, min_lift=lift)
+    pairs = pairs.select("item_a", "item_b")
+    return pairs.select(F.col("item_a").alias("name"), F.col("item_b").alias("form")).unionByName(pairs.select(F.col("item_b").alias("name"), F.col("item_a").alias("form")))
+
+
+def _edits(a: Column, b: Column) -> Column:
+    """Edit distance; two neighbouring letters in the wrong order are one edit."""
+    d = F.levenshtein(a, b)
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    return F.when((d == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)), 1).otherwise(d)
+
+
+def _given_edits(a: Column, b: Column, forms_a: Column, forms_b: Column) -> Column:
+    """Edits between two given names or their forms; null if they contradict each other."""
+    initial = F.exists(forms_a, lambda x: F.exists(forms_b, lambda y: F.substring(x, 1, 1) == F.substring(y, 1, 1)))
+    least = F.array_min(F.flatten(F.transform(forms_a, lambda x: F.transform(forms_b, lambda y: _edits(x, y)))))
+    shorter = F.least(F.length(a), F.length(b))
+    return (
+        F.when((a == "") | (b == ""), 0)
+        .when((F.length(a) == 1) | (F.length(b) == 1), F.when(initial, 0))
+        .when(F.arrays_overlap(forms_a, forms_b), 0)
+        .when((least == 1) & (shorter > 2), 1)
+        .when((least == 2) & (shorter > 4), 2)
+    )
+
+
+def agreement(pairs: DataFrame) -> DataFrame:
+    """(a, b, s) of pairs whose names don't contradict each other; s is the cosine, less where only the middle names differ.
+
+    ``pairs`` has a, b, cosine and, for both sides, family, wide, given, middle, body, forms.
+    """
+    c = F.col
+    given = _given_edits(c("given_a"), c("given_b"), c("forms_a"), c("forms_b"))
+
+    def family(x: Column, y: Column) -> Column:
+        d, short = _edits(x, y), F.least(F.length(x), F.length(y))
+        fits = (x != "") & (y != "") & ((d < 2) | (d == 2) & (short > 5))
+        both = d + given
+        return F.coalesce(fits & ((both <= 2) | (both == 3) & (short > 8)), F.lit(False))
+
+    same_family = family(c("family_a"), c("family_b"))
+    person = same_family | family(c("wide_a"), c("family_b")) | family(c("family_a"), c("wide_b"))
+    content = F.when((c("family_a") == "") | (c("family_b") == ""), c("given_a") == c("given_b")).otherwise(F.levenshtein(c("family_a"), c("family_b")) <= 3)
+    middle = (c("middle_a") != "") & (c("middle_b") != "") & same_family & (F.substring("middle_a", 1, 1) != F.substring("middle_b", 1, 1))
+    fits = F.when(c("body_a") != c("body_b"), False).when(c("body_a"), content).otherwise(person)
+    return pairs.where(fits).select("a", "b", F.when(middle, 0.3 * c("cosine")).otherwise(c("cosine")).alias("s"))
 
 
 def average_linkage(links: DataFrame, threshold: float) -> DataFrame:
@@ -265,29 +256,47 @@ def average_linkage(links: DataFrame, threshold: float) -> DataFrame:
     return moves.unionByName(heads)
 
 
-def link_names(names: DataFrame, key: str = "name_id", name: str = "name", affiliation: str = "affiliation", cosine: float = 0.35, threshold: float = 0.4) -> DataFrame:
+def link_names(names: DataFrame, key: str = "name_id", name: str = "name", affiliation: str = "affiliation", cosine: float = 0.45, threshold: float = 0.4, top: int | None = 64, short_forms: dict[str, str] | None = None, learn: bool = True) -> DataFrame:
     """(name_id, entity_id): the entity of every spelling; the entity's id is its smallest name_id.
 
-    Spellings that are equal after folding case and accents, at the same place, are one node.
+    Spellings that are equal after folding case and accents, at the same place, are one node. ``cosine``: least cosine of
+    the join; ``threshold``: least mean cosine of clusters that merge; ``top``: nearest spellings that the join keeps for each
+    (never leaving out one that could reach ``threshold`` on its own side, so only the linkage's weak links; None: all);
+    ``short_forms``: short forms by given name (default: ``SHORT_FORMS``); ``learn``: whether to learn more of them from the table.
 
     Defined cases: null keys are left out; null or empty names, and names without letters, are
     entities of their own; null affiliations share one block; repeated rows count once; other columns are ignored.
     """
     rows = names.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("name_id"), F.col(name).alias("name"), F.col(affiliation).alias("affiliation")).dropDuplicates(["name_id"])
-    parsed = cut(spread(rows).mapInArrow(_parse, f"name_id bigint, {NODE}"))
+    parsed = cut(rows.mapInArrow(_parse, f"name_id bigint, {NODE}"))
     fields = ["block", "family", "wide", "given", "middle", "body"]
     usable = parsed.where((F.col("family") != "") | (F.col("given") != ""))
     nodes = usable.groupBy(*fields).agg(F.min("name_id").alias("node"))
     members = usable.join(nodes, fields).select("name_id", "node")
     nodes = cut(nodes)
+    # forms of a given name: itself, what it may be short for, and learned ones
+    listed = [(short, full) for full, shorts in (SHORT_FORMS if short_forms is None else short_forms).items() for short in shorts.split()]
+    known = nodes.sparkSession.createDataFrame(listed, "name string, form string")
+    if learn:
+        known = known.unionByName(learned_forms(nodes))
+    forms = known.groupBy(F.col("name").alias("given")).agg(F.collect_set("form").alias("more"))
+    nodes = nodes.join(forms, "given", "left").withColumn("forms", F.concat(F.array("given"), F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+    nodes = cut(nodes)
     # the word before the family name stays a word of its own
     first_half = F.when(F.col("wide").endswith(F.col("family")), F.expr("substring(wide, 1, length(wide) - length(family))")).otherwise("")
-    text = nodes.withColumns({"text": F.concat_ws(" ", "family", first_half), "acronym": F.when(F.col("body"), F.col("given")).otherwise(F.lit(""))})
-    vectors = cut(ngram_vectors(text, "node", "text", "block", "acronym"))
-    near = cosine_join(vectors, "node", "block", cosine)
-    side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(f).alias(f"{f}_{s}") for f in fields[1:]])
-    scored = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_score, "a bigint, b bigint, s double")
-    groups = average_linkage(scored, threshold)
+    none = F.array().cast("array<string>")
+    person = ~F.col("body") & (F.col("given") != "")
+    parts = {
+        "f:": (_words_grams(F.concat_ws(" ", "family", first_half)), F.lit(FAMILY_SHARE)),
+        "g:": (F.when(person & (F.length("given") > 1), _grams(F.col("given"))).otherwise(none), F.lit((1 - FAMILY_SHARE) * (1 - INITIAL_SHARE))),
+        "i:": (F.when(person, F.array_distinct(F.transform("forms", lambda x: F.substring(x, 1, 1)))).otherwise(none), F.when(F.length("given") > 1, (1 - FAMILY_SHARE) * INITIAL_SHARE).otherwise(1 - FAMILY_SHARE)),
+        # of bodies: the acronym
+        "=": (F.when(F.col("body") & (F.col("given") != ""), F.array("given")).otherwise(none), F.lit(FAMILY_SHARE)),
+    }
+    vectors = cut(ngram_vectors(nodes, "node", "block", parts))
+    near = cosine_join(vectors, "node", "block", cosine, top, threshold)
+    side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(f).alias(f"{f}_{s}") for f in [*fields[1:], "forms"]])
+    groups = average_linkage(agreement(near.join(side("a"), "a").join(side("b"), "b")), threshold)
     entity = members.join(groups, members.node == groups.node, "left").select("name_id", F.coalesce("cluster", members.node).alias("entity_id"))
     alone = parsed.where((F.col("family") == "") & (F.col("given") == "")).select("name_id", F.col("name_id").alias("entity_id"))
     return entity.unionByName(alone)
