@@ -139,6 +139,23 @@ def test_ngrams(spark):
     assert terms.ngram_counts(df.limit(0), "abstract").count() == 0
 
 
+def test_repeated_ngrams(spark):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(25))) for _ in range(60)]
+    texts += [texts[3] + " " + texts[3], "z " * 12, "", None]
+    total, records = Counter(), Counter()
+    for t in texts:
+        w = (t or "").split()
+        grams = [" ".join(w[i : i + n]) for n in range(1, len(w) + 1) for i in range(len(w) - n + 1)]
+        total.update(grams), records.update(set(grams))
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "rec_id bigint, abstract string, term string")
+    want = {g: (len(g.split()), c, records[g]) for g, c in total.items() if c > 1 and len(g.split()) >= 2}
+    assert {r["term"]: (r["length"], r["total"], r["records"]) for r in terms.repeated_ngrams(df, "rec_id", "abstract", 2).collect()} == want
+    few = {r["term"] for r in terms.repeated_ngrams(df, "rec_id", "abstract", 5, max_n=6).collect()}
+    assert few == {g for g, w in want.items() if 5 <= w[0] <= 6}
+    assert terms.repeated_ngrams(df.limit(0), "rec_id", "abstract").count() == 0
+
+
 def test_suffix_array_prefixes():
     tokens, record = np.array([1, 2, 1, 2, 1, 2, 3]), np.array([0, 0, 0, 0, 1, 1, 1])
     order, common = terms.suffix_array(tokens, record, 4)

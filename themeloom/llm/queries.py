@@ -73,7 +73,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return terms.ngram_counts(_abstracts(spark, d), "abstract", max_n=3, min_n=2).where(F.col("total") > 1)
+    return terms.repeated_ngrams(_abstracts(spark, d), "rec_id", "abstract", min_n=2)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -156,9 +156,13 @@ ORACLE = {
     "p5_pairs": _P5 + "SELECT * FROM lifted",
     "p5_found": _P5 + "SELECT kw_a, kw_b FROM lifted",
     "p6_found": _P6 + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
+    # 24 words: longer than any repeat in abstracts; a longer one would show as a difference
+    "p6_ngrams": f"""WITH {_ABSTRACT_WORDS}, lists AS (SELECT rec_id, regexp_extract_all(lower(abstract), '[a-z]+') AS x FROM once),
+grams AS (SELECT rec_id, n AS length, unnest(list_transform(range(1, len(x) - n + 2), lambda i: array_to_string(x[i:i + n - 1], ' '))) AS term FROM lists, range(2, 25) t(n) WHERE len(x) >= n)
+SELECT CAST(length AS INTEGER) AS length, term, count(*) AS total, count(DISTINCT rec_id) AS records FROM grams GROUP BY ALL HAVING count(*) > 1""",
     "p6_frequencies": _P6 + "SELECT * FROM marked",
     # every budget is met to the last piece, or all repetitions are used up
-    "p8_pieces": _SIZES + """, t AS (SELECT m.source, coalesce(p.size, 0) AS size, CAST(round(m.target_share * total) AS BIGINT) AS budget, m.max_repeats FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total)
-SELECT source, size, budget, least(budget, max_repeats * size) AS taken FROM t""",
+    "p8_pieces": _SIZES + """, t AS (SELECT m.source, CAST(coalesce(p.size, 0) AS BIGINT) AS size, CAST(round(m.target_share * total) AS BIGINT) AS budget, m.max_repeats FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total)
+SELECT source, size, budget, CAST(least(budget, max_repeats * size) AS BIGINT) AS taken FROM t""",
     "p8_found": _SIZES + "SELECT m.source FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total WHERE m.max_repeats * coalesce(p.size, 0) < m.target_share * total",
 }

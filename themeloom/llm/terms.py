@@ -4,7 +4,8 @@ Records never cross blocks, so each block of records gets its own suffix array a
 counts add up over blocks: the occurrences of an n-gram are the length of its interval of
 equal prefixes; its records are that length less the duplicate adjacencies, that is the
 suffixes whose predecessor of the same record lies in the same interval. What is shuffled
-is one row per block and n-gram.
+is one row per block and n-gram. N-grams longer than the arrays are sorted to are followed from one length to
+the next where they repeat, up to the longest repeat.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.plans.lineage import spread
+from themeloom.plans.lineage import cut, spread
 
 BLOCK_TOKENS = 1 << 20
 
@@ -127,41 +128,80 @@ def ngram_counts(texts: DataFrame, text: str, max_n: int = 1, min_n: int = 1, pa
     return counted.groupBy("length", "term").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 
 
-def _count_weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As :func:`_count` for tokens that come with their number of repetitions; doc, w, n."""
-    held: list[pa.RecordBatch] = []
+def repeated_ngrams(texts: DataFrame, record: str, text: str, min_n: int = 1, start: int = 3, max_n: int | None = None, pattern: str = "[a-z]+", lower: bool = True) -> DataFrame:
+    """(length, term, total, records) of every n-gram of at least ``min_n`` words that occurs more than once, up to the longest repeat.
+
+    Suffix arrays count up to ``start`` words. From there on a longer n-gram can only repeat where both n-grams that make it up
+    repeat, so each further length looks at the places that are left, and the last length is the longest repeat (or ``max_n``).
+    Few places are left in texts that aren't copies of each other; with copies in them there are as many rounds as the longest has words.
+
+    ``record`` identifies a record. Defined cases: as in :func:`ngram_counts`.
+    """
+    known = texts.where(F.col(text).isNotNull())
+    counts = cut(ngram_counts(known, text, start, min(min_n, start), pattern, lower).where("total > 1"))
+    body = F.lower(F.col(text)) if lower else F.col(text)
+    words = known.select(F.col(record).alias("record"), F.regexp_extract_all(body, F.lit(f"({pattern})"), F.lit(1)).alias("x")).where(F.size("x") >= start)
+    grams = words.select("record", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("x") - (start - 1)), lambda i: F.array_join(F.slice("x", i, start), " "))).alias("pos", "term"))
+    repeated, n = counts.where(F.col("length") == start), start
+    result, live = counts.where(F.col("length") >= min_n), grams
+    while max_n is None or n < max_n:
+        live = live.join(repeated.select("term"), "term", "left_semi")
+        after = Window.partitionBy("record").orderBy("pos")
+        follows = live.select("record", "pos", "term", F.lead(F.struct("pos", "term")).over(after).alias("next")).where(F.col("next.pos") == F.col("pos") + 1)
+        live = cut(follows.select("record", "pos", F.concat("term", F.lit(" "), F.substring_index("next.term", " ", -1)).alias("term")))
+        n += 1
+        counted = live.groupBy("term").agg(F.count("*").alias("total"), F.count_distinct("record").alias("records")).where("total > 1")
+        repeated = cut(counted.select(F.lit(n).alias("length"), "term", "total", "records"))
+        if not repeated.limit(1).count():
+            break
+        if n >= min_n:
+            result = result.unionByName(repeated)
+    return result
+
+
+def _count_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As :func:`_count` for documents given as lists of terms with their numbers of occurrences, which become runs of one term."""
+    held: list[np.ndarray] = []
+    sizes: list[int] = []
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        doc, w, n = (table.column(i).to_numpy() for i in range(3))
-        order = np.argsort(doc, kind="stable")
-        doc, w, n = doc[order], w[order].astype(np.int64), n[order].astype(np.int64)
-        sorted_suffixes, common = suffix_array(w, doc, 1)
-        first, occurrences, records = intervals(sorted_suffixes, common, doc, len(w), 1, n)
+        w = np.concatenate(held)
+        record = np.repeat(np.arange(len(sizes)), sizes)
+        order, common = suffix_array(w, record, 1)
+        first, occurrences, records = intervals(order, common, record, len(w), 1)
         yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(occurrences), pa.array(records)], names=["w", "total", "records"])
 
-    size = 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.num_rows
+        terms, n = batch.column(0), batch.column(1)
+        starts = terms.offsets.to_numpy()
+        flat_w, flat_n = terms.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.int64)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            tokens = np.repeat(flat_w[a:b], flat_n[a:b])
+            held.append(tokens)
+            sizes.append(len(tokens))
+            size += len(tokens)
             if size >= BLOCK_TOKENS:
                 yield from flush()
-                held, size = [], 0
+                held, sizes, size = [], [], 0
     if held:
         yield from flush()
 
 
 def vector_counts(tf: DataFrame, doc: str = "doc_id", term: str = "w", n: str = "n") -> DataFrame:
-    """(w, total, records) of each term of term-frequency vectors in long form.
+    """(w, total, records) of each term of term-frequency vectors in long form, from suffix arrays over the documents.
+
+    A vector has no order: its document is the sequence of its terms, each as often as it occurs, and n-grams are single terms.
 
     Defined cases: repeated deliveries of (doc, term) count once (the largest n); n that is null
     or not positive is no occurrence; null documents or terms are left out.
     """
     valid = tf.where(F.col(doc).isNotNull() & F.col(term).isNotNull() & (F.col(n) > 0))
-    # keyed by (doc, term) for removing repeats: a document may lie in several blocks, but a (doc, term) pair in one only, so records add up
-    once = valid.groupBy(F.col(doc).cast("bigint").alias("doc"), F.col(term).cast("bigint").alias("w")).agg(F.max(F.col(n).cast("bigint")).alias("n"))
-    counted = once.mapInArrow(_count_weighted, "w bigint, total bigint, records bigint")
+    # deliveries of a document meet in its list; the largest n of a term is the last of its entries
+    lists = valid.groupBy(F.col(doc).alias("doc")).agg(F.array_sort(F.collect_set(F.struct(F.col(term).cast("bigint").alias("w"), F.col(n).cast("bigint").alias("n")))).alias("t"))
+    last = F.filter("t", lambda x, i: F.coalesce(F.get(F.col("t"), i + 1)["w"] != x["w"], F.lit(True)))
+    once = lists.select(last.alias("t")).select(F.col("t.w").alias("w"), F.col("t.n").alias("n"))
+    counted = once.mapInArrow(_count_vectors, "w bigint, total bigint, records bigint")
     return counted.groupBy("w").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 
 
