@@ -2,12 +2,15 @@
 
 ``field:term`` holds if the field's lower-cased words contain the term; for exact fields, if the
 whole value equals it. ``*:*`` matches all. Terms without a field use the default field; terms
-side by side mean OR, as AND, OR, NOT, +, - and brackets are understood otherwise.
+side by side mean OR. A clause after ``+`` must hold, one after ``-`` must not; the others then are optional.
+AND, OR, NOT and brackets are understood.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,12 +32,18 @@ def parse_query(query: str, fields: dict[str, str], default: str, exact: frozens
         return tokens[at - 1]
 
     def any_of() -> Column:
-        left = all_of()
-        while peek() not in (None, ")"):
+        clauses: dict[str, list[Column]] = {"+": [], "-": [], "": []}
+        while True:
+            sign = take() if peek() in ("+", "-") else ""
+            clauses[sign].append(all_of())
+            if peek() in (None, ")"):
+                break
             if peek() in ("OR", "||"):
                 take()
-            left = left | all_of()
-        return left
+        must = clauses["+"] or clauses[""]
+        join = and_ if clauses["+"] else or_
+        result = reduce(join, must) if must else F.lit(True)
+        return reduce(and_, [~c for c in clauses["-"]], result)
 
     def all_of() -> Column:
         left = one()
@@ -47,7 +56,7 @@ def parse_query(query: str, fields: dict[str, str], default: str, exact: frozens
         token = take()
         if token in ("NOT", "!", "-"):
             return ~one()
-        if token == "+":
+        if token == "+":  # beside AND a clause must hold anyway
             return one()
         if token == "(":
             inside = any_of()
@@ -68,7 +77,7 @@ def parse_query(query: str, fields: dict[str, str], default: str, exact: frozens
         if field in exact:
             return F.coalesce(column == text, F.lit(False))
         words = re.findall(r"\w+", text.lower())
-        have = F.regexp_extract_all(F.lower(column), F.lit(r"(\w+)"), F.lit(1))
+        have = F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1))
         phrase = F.contains(F.concat(F.lit(" "), F.array_join(have, " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
         return F.coalesce(phrase, F.lit(False))
 

@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from themeloom.functions.special import log_rising
 
 
-def component_state(assign: DataFrame, tf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(k, term, n_kw), (k, n_k, docs), (corpus, k, n_jk) of assignments (doc_id, corpus, k)."""
+def component_state(assign: DataFrame, tf: DataFrame, by_time: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(k, term, n_kw), (k, n_k, docs), (corpus, k, n_jk) of assignments (doc_id, corpus, k).
+
+    ``by_time``: assignments have a time_idx, and n_jk becomes ``history``, an array of (time_idx, n) of a corpus' slices.
+    """
     n_kw = tf.select("doc_id", "term", "n").join(assign.select("doc_id", "k"), "doc_id").groupBy("k", "term").agg(F.sum("n").alias("n_kw"))
     tokens = n_kw.groupBy("k").agg(F.sum("n_kw").alias("n_k"))
     sizes = assign.groupBy("k").agg(F.count("*").alias("docs")).join(tokens, "k", "left").select("k", F.coalesce("n_k", F.lit(0)).alias("n_k"), "docs")
     local = assign.groupBy("corpus", "k").agg(F.count("*").alias("n_jk"))
+    if by_time:
+        local = assign.groupBy("corpus", "k", "time_idx").agg(F.count("*").alias("n")).groupBy("corpus", "k").agg(F.collect_list(F.struct("time_idx", "n")).alias("history"))
     return n_kw, sizes, local
 
 
@@ -31,17 +36,18 @@ def empty_marginals(docs: DataFrame, tf: DataFrame, b0: float, big_b: float | Co
     return joined.withColumn("logmarg_new", F.when(F.col("len") == 0, 0.0).otherwise(F.col("empty_terms") - log_rising(total, F.col("len"))))
 
 
-def marginals(assign: DataFrame, tf: DataFrame, b0: float, n_terms: int, leave_out: bool, n_components: list[int], targets: DataFrame | None = None) -> DataFrame:
+def marginals(assign: DataFrame, tf: DataFrame, b0: float, n_terms: int, leave_out: bool, n_components: list[int], targets: DataFrame | None = None, by_time: bool = False) -> DataFrame:
     """(doc_id, corpus, z, k, logmarg, docs_left, n_jk_left): every document against every live component.
 
     ``targets`` (doc_id, corpus, k) are the documents to score, by default all of ``assign``; with k
     null they are not part of the counts.
 
     ``leave_out``: without the document's own counts; a component that then has no document is left out.
+    ``by_time``: a document sees its corpus' documents of its own slice and earlier ones only (n_tjk summed over t' <= t).
     """
     big_b = b0 * n_terms
-    n_kw, sizes, local = component_state(assign, tf)
-    own = (assign if targets is None else targets).select("doc_id", "corpus", F.col("k").alias("z"))
+    n_kw, sizes, local = component_state(assign, tf, by_time)
+    own = (assign if targets is None else targets).select("doc_id", "corpus", F.col("k").alias("z"), *(["time_idx"] if by_time else []))
     tf = tf if targets is None else tf.join(own.select("doc_id"), "doc_id", "left_semi")
     base = empty_marginals(own, tf, b0, big_b)
     # the live components are a short list of numbers, so each document is repeated in place
@@ -53,6 +59,9 @@ def marginals(assign: DataFrame, tf: DataFrame, b0: float, n_terms: int, leave_o
     gain = F.when(left > 0, log_rising(F.lit(b0) + left, F.col("n")) - log_rising(F.lit(b0), F.col("n"))).otherwise(0.0)
     corrections = matched.groupBy("doc_id", "k").agg(F.sum(gain).alias("gain"))
     scored = grid.join(corrections, ["doc_id", "k"], "left").join(sizes, "k").join(local, ["corpus", "k"], "left")
+    if by_time:
+        upto = F.filter(F.coalesce("history", F.array().cast("array<struct<time_idx:int,n:bigint>>")), lambda h: h["time_idx"] <= F.col("time_idx"))
+        scored = scored.withColumn("n_jk", F.aggregate(upto, F.lit(0).cast("bigint"), lambda acc, h: acc + h["n"]))
     mine = F.when(is_own, out).otherwise(0)
     n_k_left = F.col("n_k") - mine * F.col("len")
     logmarg = F.when(F.col("len") == 0, 0.0).otherwise(F.col("empty_terms") + F.coalesce("gain", F.lit(0.0)) - log_rising(F.lit(big_b) + n_k_left, F.col("len")))
@@ -60,7 +69,7 @@ def marginals(assign: DataFrame, tf: DataFrame, b0: float, n_terms: int, leave_o
     return result.where("docs_left > 0")
 
 
-def reassign(assign: DataFrame, tf: DataFrame, weights: dict[int, float], new_weight: float, alpha: float, b0: float, n_terms: int, leave_out: bool = True, allow_new: bool = False, targets: DataFrame | None = None) -> DataFrame:
+def reassign(assign: DataFrame, tf: DataFrame, weights: dict[int, float], new_weight: float, alpha: float, b0: float, n_terms: int, leave_out: bool = True, allow_new: bool = False, targets: DataFrame | None = None, by_time: bool = False) -> DataFrame:
     """(doc_id, k, score): best component of each document; ties to the smaller k, existing ones before a new one (k = -1).
 
     A document whose only component would be left empty stays where it is.
@@ -68,7 +77,7 @@ def reassign(assign: DataFrame, tf: DataFrame, weights: dict[int, float], new_we
     live = sorted(weights)
     docs = assign if targets is None else targets
     weight = F.element_at(F.create_map(*[F.lit(x) for k in live for x in (k, weights[k])]), F.col("k"))
-    scored = marginals(assign, tf, b0, n_terms, leave_out, live, targets).withColumn("score", F.log(F.col("n_jk_left") + alpha * weight) + F.col("logmarg")).select("doc_id", "k", "score")
+    scored = marginals(assign, tf, b0, n_terms, leave_out, live, targets, by_time).withColumn("score", F.log(F.col("n_jk_left") + alpha * weight) + F.col("logmarg")).select("doc_id", "k", "score")
     if allow_new and abs(alpha) >= 1e-7 and new_weight > 0:
         base = empty_marginals(docs, tf, b0, b0 * n_terms)
         scored = scored.unionByName(base.select("doc_id", F.lit(-1).alias("k"), (F.lit(alpha * new_weight).cast("double")).alias("p"), "logmarg_new").select("doc_id", "k", (F.log("p") + F.col("logmarg_new")).alias("score")))

@@ -8,6 +8,7 @@ sequential one. New topics of a shard get provisional ids that become dense at t
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,7 +53,29 @@ class TopicFit:
     metrics: list[dict] = field(default_factory=list)
 
 
-def _sweep_shard(frame: pd.DataFrame, counts: dict[int, np.ndarray], n_terms: int, b0: float, alpha: dict, weights: dict, rng: np.random.Generator) -> pd.DataFrame:
+def break_sticks(rng: np.random.Generator, corpora: dict, above: tuple[dict, float] | None, gamma: float, xi: float, k: int) -> tuple[dict, tuple[dict, float] | None]:
+    """A new topic ``k`` takes a piece of the unseen weight of every corpus; returns the weights by corpus and those above them.
+
+    With weights above the corpora (global ones, and their unseen part) these are broken first, by Beta(xi, 1) for what stays unseen; a corpus'
+    piece then follows Beta(gamma * unseen above, gamma * new weight above). Without them it is Beta(gamma, 1).
+    """
+    if above is not None:
+        known, unseen = dict(above[0]), above[1]
+        unseen = new_component(rng, known, unseen, xi, k)
+        above = known, unseen
+    out = {}
+    for j, (own, rest) in corpora.items():
+        own = dict(own)
+        if above is None:
+            rest = new_component(rng, own, rest, gamma, k)
+        else:
+            v = R.beta(rng, gamma * above[1], gamma * above[0][k])
+            own[k], rest = rest * (1 - v), rest * v
+        out[j] = own, rest
+    return out, above
+
+
+def _sweep_shard(frame: pd.DataFrame, counts: dict[int, np.ndarray], n_terms: int, b0: float, alpha: dict, weights: dict, rng: np.random.Generator, above: tuple[dict, float] | None = None, gamma: float = 1.0, xi: float = 1.0) -> pd.DataFrame:
     frame = frame.sort_values(["doc_id", "pos"]).reset_index(drop=True)
     ids = sorted(counts)
     table = np.stack([counts[k] for k in ids] + [np.zeros(n_terms)]).astype(float)
@@ -66,6 +89,7 @@ def _sweep_shard(frame: pd.DataFrame, counts: dict[int, np.ndarray], n_terms: in
     big = b0 * n_terms
     broken = {j: (dict(b), u) for j, (b, u) in weights.items()}
     corpora = frame["corpus"].tolist()
+    prior: dict = {}  # weights of each corpus as an array, until a new topic changes them
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
         j = corpora[x]
         n_d = np.bincount(z[x:y], minlength=len(table)).astype(float)
@@ -74,16 +98,17 @@ def _sweep_shard(frame: pd.DataFrame, counts: dict[int, np.ndarray], n_terms: in
             n_d[k] -= 1
             table[k, word] -= 1
             totals[k] -= 1
-            b, u = broken[j]
-            beta_k = np.array([b.get(name, 0.0) for name in ids])
+            if j not in prior:
+                prior[j] = alpha[j] * np.array([broken[j][0].get(name, 0.0) for name in ids])
+            u = broken[j][1]
             m = len(ids)
-            p = np.where(totals[:m] > 0, (n_d[:m] + alpha[j] * beta_k) * (np.maximum(table[:m, word], 0) + b0) / (totals[:m] + big), 0.0)
+            p = np.where(totals[:m] > 0, (n_d[:m] + prior[j]) * (np.maximum(table[:m, word], 0) + b0) / (totals[:m] + big), 0.0)
             pick = R.categorical(rng, np.append(p, alpha[j] * u / n_terms))
             if pick == m:
                 fresh += 1
                 ids.append(-fresh)
-                for c, (bc, uc) in broken.items():
-                    broken[c] = (bc, new_component(rng, bc, uc, 1.0, -fresh))
+                broken, above = break_sticks(rng, broken, above, gamma, xi, -fresh)
+                prior.clear()
                 table, totals, n_d = np.vstack([table, np.zeros(n_terms)]), np.append(totals, 0.0), np.append(n_d, 0.0)
             z[i] = pick
             n_d[pick] += 1
@@ -95,9 +120,9 @@ def _sweep_shard(frame: pd.DataFrame, counts: dict[int, np.ndarray], n_terms: in
 
 def _shard_runner(sent, n_terms: int, b0: float, seed: int, it: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        counts, weights, alpha = sent.value
+        counts, weights, alpha, above, gamma, xi = sent.value
         rng = R.generator(seed, it, int(frame["shard"].iloc[0]) + 1)
-        return _sweep_shard(frame, counts, n_terms, b0, alpha, weights, rng)[["doc_id", "corpus", "pos", "w", "k", "shard"]]
+        return _sweep_shard(frame, counts, n_terms, b0, alpha, weights, rng, above, gamma, xi)[["doc_id", "corpus", "pos", "w", "k", "shard"]]
 
     return run
 
@@ -107,7 +132,7 @@ def _table_counts(rng, rows, weights, alpha, crp) -> dict:
     tables: dict = {}
     for j, k, n, times in sorted(rows):
         share = weights[j][0].get(k, 1e-9)
-        tables[j, k] = tables.get((j, k), 0) + sum(R.crp_tables(rng, int(n), alpha[j] * share, crp) for _ in range(int(times)))
+        tables[j, k] = tables.get((j, k), 0) + R.crp_tables(rng, int(n), alpha[j] * share, crp, int(times))
     return tables
 
 
@@ -126,7 +151,7 @@ def fit_topics(tokens: DataFrame, n_terms: int, p: TopicParams, shared: bool = T
     alpha, gamma, xi, following = {j: p.alpha for j in corpora}, p.gamma, p.xi, p.initial + 1
     schema, metrics = "doc_id bigint, corpus string, pos int, w bigint, k bigint, shard int", []
     for it in range(p.iterations):
-        rng = R.generator(p.seed, it)
+        began, rng = time.time(), R.generator(p.seed, it)
         counts: dict[int, np.ndarray] = {}
         for r in current.groupBy("k", "w").agg(F.count("*").alias("n")).toLocalIterator():
             if r["k"] not in counts:
@@ -134,7 +159,7 @@ def fit_topics(tokens: DataFrame, n_terms: int, p: TopicParams, shared: bool = T
                     raise ValueError("topics times terms exceed max_cells; prune the vocabulary")
                 counts[r["k"]] = np.zeros(n_terms, np.int64)
             counts[r["k"]][r["w"]] = r["n"]
-        sent = spark.sparkContext.broadcast((counts, local, alpha))
+        sent = spark.sparkContext.broadcast((counts, local, alpha, (weights, unseen) if shared else None, gamma, xi))  # at most max_cells counts
 
         shard = F.pmod(F.xxhash64(F.lit(p.seed), "doc_id"), F.lit(shards)).cast("int")
         swept = cut(current.withColumn("shard", shard).groupBy("shard").applyInPandas(_shard_runner(sent, n_terms, p.b0, p.seed, it), schema))
@@ -162,9 +187,12 @@ def fit_topics(tokens: DataFrame, n_terms: int, p: TopicParams, shared: bool = T
             else:
                 local[j] = (dict(weights), unseen)
         if p.alpha_prior:
+            lengths: dict = {}
+            for r in per_doc.groupBy("corpus", "doc_id").agg(F.sum("n").alias("n")).groupBy("corpus", "n").count().orderBy("corpus", "n").collect():
+                lengths.setdefault(r["corpus"], []).append((r["n"], r["count"]))
             for j in corpora:
-                sizes = [r["n"] for r in per_doc.where(F.col("corpus") == j).groupBy("doc_id").agg(F.sum("n").alias("n")).groupBy("n").count().collect() for _ in range(r["count"])]
-                alpha[j] = hyper.resample_alpha(rng, alpha[j], sizes, sum(m for (c, _), m in tables.items() if c == j), *p.alpha_prior)
+                own = lengths.get(j, [])
+                alpha[j] = hyper.resample_alpha(rng, alpha[j], [n for n, _ in own], sum(m for (c, _), m in tables.items() if c == j), *p.alpha_prior, times=[m for _, m in own])
         if p.gamma_prior:
             if shared:
                 sizes = [sum(m for (c, _), m in tables.items() if c == j) for j in corpora]
@@ -173,7 +201,10 @@ def fit_topics(tokens: DataFrame, n_terms: int, p: TopicParams, shared: bool = T
                 gamma = hyper.resample_gamma(rng, gamma, sum(meta.values()), len(live), *p.gamma_prior)
         if shared and p.xi_prior:
             xi = hyper.resample_gamma(rng, xi, sum(meta.values()), len(live), *p.xi_prior)
-        metrics.append({"iter": it, "k": len(live), "gamma": gamma, "xi": xi})
+        named = current.withColumnRenamed("w", "term")
+        loglik = token_loglik(named, p.b0, n_terms).agg(F.sum("loglik")).first()[0]
+        local_k = {j: sum(1 for (c, _), m in tables.items() if c == j and m) for j in corpora}
+        metrics.append({"iter": it, "k": len(live), "local_k": local_k, "loglik": loglik, "alpha": dict(alpha), "gamma": gamma, "xi": xi, "ms": int(1000 * (time.time() - began))})
     return TopicFit(current, weights, unseen, local, alpha, gamma, xi, metrics)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions.search import parse_query
+from themeloom.functions import text
 from themeloom.functions.text import sample_exact
+from themeloom.operators import timeline
+from themeloom.plans.lineage import cut
 
 FIELDS = ("year", "title", "link", "abstract", "keywords", "author")
 
@@ -63,10 +66,36 @@ def load_index(spark: SparkSession, path: str, query: str, schema: CorpusSchema
     rows = spark.read.parquet(path)
     names = {c: c for c in rows.columns} | {"confName": schema.corpus}
     hits = rows.where(parse_query(query, names, schema.title, frozenset({"uri", "link"})))
-    docs = hits.select(F.col(schema.uri).alias("uri"), F.concat(F.col(schema.title), F.col(schema.body)).alias("text"), F.col(schema.corpus).alias("corpus"), F.col(schema.time).alias("time"))
+    docs = hits.select(F.col(schema.uri).alias("uri"), F.concat(F.coalesce(schema.title, F.lit("")), F.coalesce(schema.body, F.lit(""))).alias("text"), F.col(schema.corpus).alias("corpus"), F.col(schema.time).alias("time"))
     return docs if fraction >= 1 else sample_exact(docs, fraction, "uri", seed)
 
 
+def from_lists(spark: SparkSession, uris: list, contents: list, times: list, corpora: list) -> DataFrame:
+    """(uri, text, corpus, time) from parallel lists; time in epoch milliseconds."""
+    if not len(uris) == len(contents) == len(times) == len(corpora):
+        raise ValueError("lists differ in length")
+    return spark.createDataFrame(list(zip(uris, contents, corpora, times)), "uri string, text string, corpus string, time bigint")
+
+
+def prepare(docs: DataFrame, bucket: Column, scale: str = "month", stop: DataFrame | None = None, min_tf: int = 2, max_tf: int = 10_000_000) -> dict[str, DataFrame]:
+    """From (uri, text, corpus, time) to the model's tables: ``docs`` (uri, corpus, time_idx), ``times``, ``vocab`` (term, tf, df) and ``tf`` (uri, term, n).
+
+    ``bucket`` is the slice of a document as a Column over ``docs``; documents without one have no time_idx.
+    """
+    tokens = text.tokens(docs.select("uri", "text"))
+    counted = cut(text.term_frequencies(tokens if stop is None else text.without_stop_words(tokens, stop), "uri"))
+    vocab = text.vocabulary(counted, "uri", min_tf, max_tf)
+    times = timeline.spine(docs, bucket, scale)
+    placed = docs.withColumn("bucket", bucket).join(times.select("bucket", "time_idx"), "bucket", "left")
+    return {"docs": placed.select("uri", "corpus", "time_idx"), "times": times, "vocab": vocab, "tf": counted.join(vocab.select("term"), "term")}
+
+
+def load_corpora(spark: SparkSession, path: str, query: str, fraction: float = 1.0, seed: int = 0, schema: CorpusSchema = CorpusSchema(), stop: DataFrame | None = None) -> dict[str, DataFrame]:
+    """From an index to the model's tables: the records a query finds, or a seeded share of them (see :func:`prepare`)."""
+    docs = load_index(spark, path, query, schema, fraction, seed)
+    return prepare(docs, timeline.year_bucket(F.col("time").try_cast("int"), "year"), "year", stop)
+
+
 def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
     """(term): one lower-case word per line, without byte-order mark and carriage return, each once."""
     word = F.trim(F.regexp_replace(F.lower("value"), "[﻿\r]", ""))
