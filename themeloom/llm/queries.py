@@ -90,12 +90,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of a mix whose sizes are whitespace-separated pieces, as the plan has them."""
+    """Per source its size in whitespace-separated pieces, its budget, the most that is allowed of it, and whether the plan fits: it
+    takes no more than that, and no whole document would fit into what is left."""
     counts, targets = cut(mixing.length_counts(_pieces(spark, d))), _table(spark, d, "mix_targets")
     plan = mixing.mix_plan(counts, targets)
     taken = plan.groupBy("source").agg(F.sum(F.col("size") * (F.col("docs") * F.col("whole") + F.col("extra"))).alias("taken"))
-    budgets = mixing.source_budgets(counts, targets).select("source", "budget", "size", "max_repeats")
-    return budgets.join(taken, "source", "left").select("source", "size", "budget", F.coalesce("taken", F.lit(0)).alias("taken"))
+    shortest = counts.where("size > 0").groupBy("source").agg(F.min("size").alias("shortest"))
+    budgets = mixing.source_budgets(counts, targets).select("source", "budget", "size", F.least("budget", F.col("max_repeats") * F.col("size")).alias("allowed"))
+    left = F.col("allowed") - F.coalesce("taken", F.lit(0))
+    return budgets.join(taken, "source", "left").join(shortest, "source", "left").select("source", "size", "budget", "allowed", ((left >= 0) & (left < F.coalesce("shortest", F.lit(1)))).alias("fits"))
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -161,8 +164,7 @@ ORACLE = {
 grams AS (SELECT rec_id, n AS length, unnest(list_transform(range(1, len(x) - n + 2), lambda i: array_to_string(x[i:i + n - 1], ' '))) AS term FROM lists, range(2, 25) t(n) WHERE len(x) >= n)
 SELECT CAST(length AS INTEGER) AS length, term, count(*) AS total, count(DISTINCT rec_id) AS records FROM grams GROUP BY ALL HAVING count(*) > 1""",
     "p6_frequencies": _P6 + "SELECT * FROM marked",
-    # every budget is met to the last piece, or all repetitions are used up
     "p8_pieces": _SIZES + """, t AS (SELECT m.source, CAST(coalesce(p.size, 0) AS BIGINT) AS size, CAST(round(m.target_share * total) AS BIGINT) AS budget, m.max_repeats FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total)
-SELECT source, size, budget, CAST(least(budget, max_repeats * size) AS BIGINT) AS taken FROM t""",
+SELECT source, size, budget, CAST(least(budget, max_repeats * size) AS BIGINT) AS allowed, true AS fits FROM t""",
     "p8_found": _SIZES + "SELECT m.source FROM mix_targets m LEFT JOIN per p ON p.source = m.source, total WHERE m.max_repeats * coalesce(p.size, 0) < m.target_share * total",
 }
