@@ -94,3 +94,11 @@ def sample_per_group(rows: DataFrame, group: str, key: str, n: int, seed: int =
     """At most ``n`` seeded rows of each group."""
     order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+
+
+def sorted_frequencies(tf: DataFrame, max_vocab: int, doc: str = "doc_id") -> DataFrame:
+    """(doc, terms, counts): a document's terms in order with their counts, of the ``max_vocab`` most frequent terms (ties by term)."""
+    total = tf.groupBy("term").agg(F.sum("n").alias("total"))
+    kept = total.orderBy(F.desc("total"), "term").limit(max_vocab).select("term")
+    packed = tf.join(kept, "term").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("v"))
+    return packed.select(doc, F.col("v.term").alias("terms"), F.col("v.n").alias("counts"))

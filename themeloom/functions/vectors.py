@@ -165,3 +165,36 @@ def map_dot(a: Column, b: Column) -> Column:
 
 def map_kl(p: Column, q: Column) -> Column:
     return _fold(F.map_values(F.map_zip_with(p, q, lambda _, x, y: kl_term(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))))), lambda x: x)
+
+
+def _sparse_of(m: Column, dim: Column) -> Column:
+    keys = F.array_sort(F.filter(F.map_keys(m), lambda k: F.element_at(m, k) != 0))
+    return F.struct(dim.alias("dim"), keys.alias("idx"), F.transform(keys, lambda k: F.element_at(m, k)).alias("val"))
+
+
+def _entries(s: Column) -> Column:
+    return F.map_from_arrays(s["idx"], s["val"])
+
+
+def sparse_add(a: Column, b: Column) -> Column:
+    """Sum of two sparse structs; entries that cancel out are dropped."""
+    return _sparse_of(map_add(_entries(a), _entries(b)), F.greatest(a["dim"], b["dim"]))
+
+
+def sparse_subtract(a: Column, b: Column) -> Column:
+    return _sparse_of(map_subtract(_entries(a), _entries(b)), F.greatest(a["dim"], b["dim"]))
+
+
+def sparse_scale(s: Column, by: float) -> Column:
+    return F.struct(s["dim"].alias("dim"), s["idx"].alias("idx"), F.transform(s["val"], lambda v: v * by).alias("val"))
+
+
+def sparse_max(s: Column) -> Column:
+    """Largest value of a sparse struct, its zeros included; null for dimension 0."""
+    stored = F.array_max(s["val"])
+    return F.when(F.size(s["idx"]) < s["dim"], F.greatest(F.coalesce(stored, F.lit(0.0)), F.lit(0.0))).otherwise(stored)
+
+
+def sparse_min(s: Column) -> Column:
+    stored = F.array_min(s["val"])
+    return F.when(F.size(s["idx"]) < s["dim"], F.least(F.coalesce(stored, F.lit(0.0)), F.lit(0.0))).otherwise(stored)

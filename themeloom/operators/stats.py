@@ -53,3 +53,16 @@ def render_keywords(ranked: DataFrame, keys: list[str], n: str = "n_kw", pattern
 def topics_per_document(tokens: DataFrame) -> DataFrame:
     """(doc_id, topics): number of distinct topics of a document's tokens."""
     return tokens.groupBy("doc_id").agg(F.count_distinct("k").alias("topics"))
+
+
+def matrix_extremes(cells: DataFrame, along: str, other: str, value: str) -> DataFrame:
+    """(along, least, least_at, most, most_at) of the cells of a matrix; ties go to the smaller position."""
+    low, high = F.min(F.struct(value, F.col(other).alias("at"))), F.max(F.struct(value, (-F.col(other)).alias("at")))
+    ends = cells.groupBy(along).agg(low.alias("low"), high.alias("high"))
+    return ends.select(along, F.col(f"low.{value}").alias("least"), F.col("low.at").alias("least_at"), F.col(f"high.{value}").alias("most"), (-F.col("high.at")).alias("most_at"))
+
+
+def topic_rollup(tokens: DataFrame) -> DataFrame:
+    """(corpus, k, tokens, docs, terms) of token topics by corpus and topic, with totals where corpus or k is null."""
+    cells = tokens.groupBy("corpus", "k", "doc_id", "term").agg(F.count("*").alias("n"))
+    return cells.rollup("corpus", "k").agg(F.sum("n").alias("tokens"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("term").alias("terms"))

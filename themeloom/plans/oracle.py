@@ -134,5 +134,4 @@ ORACLE = {
     "map_reassign_with_new": _best(1, True),
     "predict_cluster": _best(0, False),
     "predict_token_probs": f"WITH {_TOPIC}, a AS (SELECT k, term, count(*) AS n_kw FROM tt GROUP BY k, term), s AS (SELECT k, count(*) AS n_k FROM tt GROUP BY k), t AS (SELECT DISTINCT term FROM tt), raw AS (SELECT t.term, s.k, 0.15 * (coalesce(n_kw, 0) + 0.5) / (n_k + 0.5 * (SELECT count(*) FROM t)) AS r FROM t, s LEFT JOIN a ON a.k = s.k AND a.term = t.term) SELECT term, k, round(r / sum(r) OVER (PARTITION BY term), 6) AS p FROM raw",
-    "crp_expected_tables": "SELECT source AS corpus, round(1 + (count(*) - 1) * 1.0 / (count(*) + 1.0), 6) AS tables FROM documents GROUP BY source",
 }

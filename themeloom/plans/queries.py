@@ -303,15 +303,15 @@ def normalize_tf(spark, d):
 
 
 def _corpus_probabilities(spark, d):
-    counts = _pruned(spark, d).groupBy("corpus", "term").agg(F.sum("n").alias("n"))
+    counts = cut(_pruned(spark, d).groupBy("corpus", "term").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("corpus").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "corpus").select("corpus", "term", (F.col("n") / F.col("total")).alias("p"))
+    return counts.join(totals, "corpus").select("corpus", "term", "n", (F.col("n") / F.col("total")).alias("p"))
 
 
 def _divergence(spark, d):
     """Of each corpus from all corpora together, over the union of supports."""
-    p = cut(_corpus_probabilities(spark, d))
-    everything = _pruned(spark, d).groupBy("term").agg(F.sum("n").alias("n"))
+    p = _corpus_probabilities(spark, d)
+    everything = p.groupBy("term").agg(F.sum("n").alias("n"))
     total = everything.agg(F.sum("n").alias("total"))
     q = everything.join(F.broadcast(total)).select("term", (F.col("n") / F.col("total")).alias("q"))
     # terms that a corpus lacks add the same whatever the corpus, so the union of supports needs no grid
@@ -339,23 +339,25 @@ def sumlog_range(spark, d):
     return _lengths(spark, d).select("doc_id", F.round(special.sum_log(F.lit(0.0), (F.col("len") - 1).cast("double"), F.lit(B0)), 4).alias("s"))
 
 
-def _n_terms(spark, d) -> int:
-    return text.vocabulary(_tf(spark, d)).count()
+def _model(spark, d) -> tuple[DataFrame, int]:
+    """Counts of the pruned vocabulary, tokenised and written once, and the number of its terms."""
+    pruned = cut(_pruned(spark, d))
+    return pruned, pruned.select("term").distinct().count()
 
 
 def doc_log_marginal(spark, d):
-    n = _n_terms(spark, d)
-    return scoring.marginals(_assign(spark, d), cut(_pruned(spark, d)), B0, n, True, list(range(K))).select("doc_id", "k", F.round("logmarg", 4).alias("logmarg"))
+    pruned, n = _model(spark, d)
+    return scoring.marginals(_assign(spark, d), pruned, B0, n, True, list(range(K))).select("doc_id", "k", F.round("logmarg", 4).alias("logmarg"))
 
 
 def doc_empty_marginal(spark, d):
-    n = _n_terms(spark, d)
-    return scoring.empty_marginals(_docs(spark, d), _pruned(spark, d), B0, B0 * n).select("doc_id", F.round("logmarg_new", 4).alias("logmarg"))
+    pruned, n = _model(spark, d)
+    return scoring.empty_marginals(_docs(spark, d), pruned, B0, B0 * n).select("doc_id", F.round("logmarg_new", 4).alias("logmarg"))
 
 
 def cluster_loglik(spark, d):
-    n = _n_terms(spark, d)
-    return scoring.cluster_loglik(_assign(spark, d), cut(_pruned(spark, d)), B0, n).select("doc_id", "k", F.round("logmarg", 4).alias("logmarg"))
+    pruned, n = _model(spark, d)
+    return scoring.cluster_loglik(_assign(spark, d), pruned, B0, n).select("doc_id", "k", F.round("logmarg", 4).alias("logmarg"))
 
 
 def token_loglik(spark, d):
@@ -368,18 +370,18 @@ _WEIGHTS = {k: 0.15 for k in range(K)}
 
 
 def map_reassign(spark, d):
-    n = _n_terms(spark, d)
-    return scoring.reassign(_assign(spark, d), cut(_pruned(spark, d)), _WEIGHTS, 0.25, ALPHA, B0, n).select("doc_id", "k")
+    pruned, n = _model(spark, d)
+    return scoring.reassign(_assign(spark, d), pruned, _WEIGHTS, 0.25, ALPHA, B0, n).select("doc_id", "k")
 
 
 def map_reassign_with_new(spark, d):
-    n = _n_terms(spark, d)
-    return scoring.reassign(_assign(spark, d), cut(_pruned(spark, d)), _WEIGHTS, 0.25, ALPHA, B0, n, True, True).select("doc_id", "k")
+    pruned, n = _model(spark, d)
+    return scoring.reassign(_assign(spark, d), pruned, _WEIGHTS, 0.25, ALPHA, B0, n, True, True).select("doc_id", "k")
 
 
 def predict_cluster(spark, d):
-    n = _n_terms(spark, d)
-    return scoring.reassign(_assign(spark, d), cut(_pruned(spark, d)), _WEIGHTS, 0.25, ALPHA, B0, n, False, False).select("doc_id", "k")
+    pruned, n = _model(spark, d)
+    return scoring.reassign(_assign(spark, d), pruned, _WEIGHTS, 0.25, ALPHA, B0, n, False, False).select("doc_id", "k")
 
 
 def predict_token_probs(spark, d):
@@ -388,14 +390,9 @@ def predict_token_probs(spark, d):
     return scoring.token_predictive(counts, _WEIGHTS, ALPHA, B0, n).withColumn("p", F.round("p", 6))
 
 
-def crp_expected_tables(spark, d):
-    n = _docs(spark, d).groupBy("corpus").agg(F.count("*").alias("n"))
-    return n.select("corpus", F.round(1 + (F.col("n") - 1) * ALPHA / (F.col("n") + ALPHA), 6).alias("tables"))
-
-
 def _small_model(spark, d):
     """Documents and counts with term ids for fitting."""
-    tf = _pruned(spark, d)
+    tf = cut(_pruned(spark, d))
     vocab = cut(text.dense_ids(tf.select("term").distinct(), "term"))
     return _docs(spark, d).select("doc_id", "corpus"), cut(tf.join(vocab, "term")), vocab.count()
 
@@ -455,6 +452,6 @@ QUERIES = {
         cumulative_cluster_sizes, search_term, search_boolean, search_all, sample_fraction_hash, kfold_mod, parse_labelled_records, cluster_stats, cluster_members, cluster_keywords, cluster_keywords_text, cluster_keywords_by_corpus, cluster_rollup,
         topic_stats, topic_keywords, doc_topic_matrix, topics_per_doc, split_matrix, merge_matrix, split_keywords, timeslice_summary, vec_add, vec_dot, vec_norm2, vec_minmax, vec_topk, matrix_row_col_stats, sparse_from_dense, sparse_dense_dot, unique_counts,
         positions_of_values, mean_std, normalize_tf, kl_corpora, sym_kl_corpora, posterior_loglik, sumlog_range, doc_log_marginal, doc_empty_marginal, cluster_loglik, token_loglik, map_reassign, map_reassign_with_new, predict_cluster, predict_token_probs,
-        crp_expected_tables, fit_clusters_batch, fit_clusters_exact, fit_topics, incremental_fit, incremental_summary, incremental_splits, incremental_merges,
+        fit_clusters_batch, fit_clusters_exact, fit_topics, incremental_fit, incremental_summary, incremental_splits, incremental_merges,
     )
 }
