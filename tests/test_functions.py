@@ -93,3 +93,17 @@ def test_random():
     assert abs(counts[1] / 20000 - 0.8) < 0.02
     assert R.initial_labels(R.generator(5), 50, 3).tolist() == R.initial_labels(R.generator(5), 50, 3).tolist()
     assert hyper.resample_gamma(rng, 1.0, 20, 5, 1, 1) > 0 and hyper.resample_alpha(rng, 1.0, [10, 20, 0], 8, 1, 1) > 0
+
+
+def test_required_and_prohibited_clauses(spark):
+    df = spark.createDataFrame([(1, "Daten für alle"), (2, "plain b"), (3, "b"), (4, "plain"), (5, None)], "id int, title string")
+    find = lambda q: [r["id"] for r in df.where(search.parse_query(q, {"title": "title"}, "title")).orderBy("id").collect()]
+    assert find("title:für") == [1] and find("+plain b") == [2, 4] and find("+plain +b") == [2] and find("plain -b") == [4] and find("b plain") == [2, 3, 4]
+
+
+def test_exact_samples(spark):
+    df = spark.range(5000).withColumnRenamed("id", "doc_id").withColumn("h", F.lit("clash"))
+    few = text.sample_exact(df, 0.31, "doc_id", 3)
+    ids = {r["doc_id"] for r in few.collect()}
+    assert len(ids) == few.count() == 1550 and few.columns == ["doc_id", "h"] and ids == {r["doc_id"] for r in text.sample_exact(df.repartition(7), 0.31, "doc_id", 3).collect()}
+    assert text.sample_exact(df, 0.0, "doc_id").count() == 0 and text.sample_exact(df, 1.0, "doc_id").count() == 5000 and text.sample_exact(df.limit(0), 0.5, "doc_id").count() == 0

@@ -112,3 +112,53 @@ def test_stream_of_slices(spark, tmp_path):
         write(fresh, 0)
     got = spark.read.parquet(f"{model}/assign").where("batch = 0").collect()
     assert len(got) == fresh.count() and all(r["k"] == r["doc_id"] % 3 for r in got)
+
+
+def test_counts_up_to_the_own_slice(spark):
+    """n_tjk summed over t' <= t, against a serial count."""
+    docs, tf, n_terms = planted(spark)
+    assign = docs.select("doc_id", "corpus", "time_idx", (F.col("doc_id") % 2).cast("int").alias("k"))
+    rows = [tuple(r) for r in assign.collect()]
+    got = {(r["doc_id"], r["k"]): r["n_jk_left"] for r in scoring.marginals(assign, tf, 0.5, n_terms, True, [0, 1], by_time=True).collect()}
+    for d, j, t, z in rows:
+        for k in (0, 1):
+            want = sum(1 for e, i, u, y in rows if i == j and y == k and u <= t) - (z == k)
+            assert got[d, k] == want
+    late = assign.where("time_idx = 2").withColumn("k", F.lit(None).cast("int"))
+    early = assign.where("time_idx < 2")
+    scored = {(r["doc_id"], r["k"]): r["n_jk_left"] for r in scoring.marginals(early, tf, 0.5, n_terms, False, [0, 1], late, True).collect()}
+    for d, j, t, _ in rows:
+        if t == 2:
+            assert scored[d, 0] == sum(1 for e, i, u, y in rows if i == j and y == 0 and u < 2)
+
+
+def test_given_labels_and_births(spark):
+    docs, tf, n_terms = planted(spark)
+    labels = docs.where("doc_id < 999").select("doc_id", F.concat(F.lit("g"), (F.col("doc_id") % 3).cast("string")).alias("label"))
+    assert {tuple(r) for r in clustering.given_labels(docs, labels).collect()} == {(i, i % 3) for i in range(24)} | {(999, 3)}
+    for fit in (clustering.fit_exact, clustering.fit_batch):
+        done = fit(docs, tf, n_terms, clustering.ClusterParams(iterations=1, seed=1), labels)
+        found = {r["doc_id"]: r["k"] for r in done.assign.collect()}
+        assert all(len({found[d] for d in range(g, 24, 3)}) == 1 for g in range(3)) and done.metrics[0]["local_k"]["a"] >= 3
+    # documents that prefer a new component found several, by their leading term
+    one = docs.select("doc_id", "corpus", F.lit(0).alias("k"))
+    moved = clustering.sweep(one, tf, {0: 1e-12}, 1.0, 50.0, 0.01, n_terms, True, 1, births=4)
+    assert moved.select("k").distinct().count() > 2
+
+
+def test_reports_are_written(spark, tmp_path):
+    docs, tf, n_terms = planted(spark, per=2)
+    done = clustering.fit_incremental(docs.where("time_idx < 2"), tf, n_terms, clustering.ClusterParams(iterations=1, seed=2, initial=2), report_path=str(tmp_path / "r"))
+    written = spark.read.json(str(tmp_path / "r" / "output"))
+    assert written.count() == done.reports["output_1"].count() and {r[0] for r in written.select("time_idx").distinct().collect()} == {1}
+
+
+def test_index_keeps_texts_with_nulls(spark, tmp_path):
+    rows = spark.createDataFrame([("u1", "T", None, "c", "2001"), ("u2", None, "body", "c", "2003"), ("u3", None, None, "d", None)], "uri string, title string, abstract string, conf_name string, year string")
+    path = str(tmp_path / "i")
+    records.write_index(rows, path, True)
+    assert {(r["uri"], r["text"]) for r in records.load_index(spark, path, "*:*").collect()} == {("u1", "T"), ("u2", "body"), ("u3", "")}
+    made = records.load_corpora(spark, path, "*:*")
+    assert {tuple(r) for r in made["docs"].collect()} == {("u1", "c", 0), ("u2", "c", 2), ("u3", "d", None)}
+    with pytest.raises(ValueError):
+        records.from_lists(spark, ["a"], [], [], [])

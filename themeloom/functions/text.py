@@ -70,18 +70,18 @@ def sample_exact(rows: DataFrame, fraction: float, key: str, seed: int = 0) -> D
     Rows fall into 4096 buckets by their hash; those below the border are taken whole and only the border's bucket is
     ranked, so that no task holds the sample.
     """
-    hashed = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("h_bucket", F.substring("h", 1, 3))
-    sizes = sorted((r["h_bucket"], r["n"]) for r in hashed.groupBy("h_bucket").agg(F.count("*").alias("n")).collect())
+    hashed = rows.withColumn("__hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__bucket", F.substring("__hash", 1, 3))
+    sizes = sorted((r["__bucket"], r["n"]) for r in hashed.groupBy("__bucket").agg(F.count("*").alias("n")).collect())
     wanted, border = int(sum(n for _, n in sizes) * fraction), None
     for border, n in sizes:
         if n > wanted:
             break
         wanted -= n
     else:
-        return hashed.drop("h", "h_bucket")
-    whole = hashed.where(F.col("h_bucket") < border)
-    ranked = hashed.where(F.col("h_bucket") == border).withColumn("h_rank", F.row_number().over(Window.partitionBy("h_bucket").orderBy("h", key)))
-    return whole.unionByName(ranked.where(F.col("h_rank") <= wanted).drop("h_rank")).drop("h", "h_bucket")
+        return hashed.drop("__hash", "__bucket")
+    whole = hashed.where(F.col("__bucket") < border)
+    ranked = hashed.where(F.col("__bucket") == border).withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket").orderBy("__hash", key)))
+    return whole.unionByName(ranked.where(F.col("__rank") <= wanted).drop("__rank")).drop("__hash", "__bucket")
 
 
 def folds(rows: DataFrame, k: int, key: str, seed: int | None = None) -> DataFrame:
