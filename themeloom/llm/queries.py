@@ -91,14 +91,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Per source its size in whitespace-separated pieces, its budget, the most that is allowed of it, and whether the plan fits: it
-    takes no more than that, and no whole document would fit into what is left."""
+    takes no more than that, and no document that it leaves out would fit into what remains."""
     counts, targets = cut(mixing.length_counts(_pieces(spark, d))), _table(spark, d, "mix_targets")
     plan = mixing.mix_plan(counts, targets)
     taken = plan.groupBy("source").agg(F.sum(F.col("size") * (F.col("docs") * F.col("whole") + F.col("extra"))).alias("taken"))
-    shortest = counts.where("size > 0").groupBy("source").agg(F.min("size").alias("shortest"))
+    shortest = plan.where("size > 0 AND extra < docs").groupBy("source").agg(F.min("size").alias("shortest"))
     budgets = mixing.source_budgets(counts, targets).select("source", "budget", "size", F.least("budget", F.col("max_repeats") * F.col("size")).alias("allowed"))
     left = F.col("allowed") - F.coalesce("taken", F.lit(0))
-    return budgets.join(taken, "source", "left").join(shortest, "source", "left").select("source", "size", "budget", "allowed", ((left >= 0) & (left < F.coalesce("shortest", F.lit(1)))).alias("fits"))
+    return budgets.join(taken, "source", "left").join(shortest, "source", "left").select("source", "size", "budget", "allowed", ((left == 0) | (left > 0) & (left < F.coalesce("shortest", left + 1))).alias("fits"))
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
