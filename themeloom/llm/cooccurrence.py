@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.plans.lineage import cut
 
@@ -114,9 +115,11 @@ def pair_lift(baskets: DataFrame, basket: str, item: str, min_together: int = 1,
     heavy_from = max(1.0, postings / heavy_items)
     # heavy items get the codes 0.., at most heavy_items of them, so they may go to the driver
     heavy = [r["item"] for r in useful.where(F.col("n") > heavy_from).select("item").collect()]
-    codes = F.create_map(*[x for i, v in enumerate(sorted(heavy)) for x in (F.lit(v), F.lit(i))]) if heavy else None
+    item_type = useful.schema["item"].dataType
+    numbered = spark.createDataFrame(list(zip(sorted(heavy), range(len(heavy)))), T.StructType([T.StructField("item", item_type), T.StructField("number", T.LongType())]))
     light_code = F.xxhash64("item").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(heavy_items)
-    coded = useful.withColumn("code", F.coalesce(F.element_at(codes, F.col("item")).cast("bigint"), light_code) if heavy else light_code)
+    # the table of heavy items is as small as the list; a join instead of a map of as many literals
+    coded = useful.join(numbered, "item", "left").select("item", "n", F.coalesce("number", light_code).alias("code"))
     coded = cut(coded)
     if coded.groupBy("code").count().where("count > 1").limit(1).count():
         raise ValueError("two items share a hash code")
