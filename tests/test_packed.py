@@ -43,3 +43,12 @@ def test_a_sweep_is_one_pass(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # the pass, and the likelihood with its final sum
     assert counts[1] - counts[0] <= 3 * 3
+
+
+def test_exact_has_no_limit_of_its_own(spark):
+    docs, tf, n_terms = planted(spark)
+    many = tf.withColumn("n", F.col("n") * 10_000)  # more than two million tokens
+    found = {}
+    for r in clustering.fit_exact(docs, many, n_terms, clustering.ClusterParams(iterations=4, seed=3, initial=4)).assign.where("doc_id < 999").collect():
+        found.setdefault(r["k"], set()).add(r["doc_id"] % 3)
+    assert all(len(groups) == 1 for groups in found.values())
