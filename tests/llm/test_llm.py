@@ -254,6 +254,12 @@ def test_leaks(spark):
     assert leaks.find_leaks(corpus, items.limit(0)).count() == 0 and leaks.find_leaks(corpus.limit(0), items).count() == 0
 
 
+def test_wording_of_many_items_is_found(spark):
+    words = " ".join(f"word{i}" for i in range(30))
+    items = spark.createDataFrame([(i, f"{words} item{i}") for i in range(70)], "item_id bigint, text string")
+    assert leaks.find_leaks(spark.createDataFrame([(1, words)], "doc_id bigint, text string"), items).count() == 70
+
+
 # ---- mixing
 
 

@@ -28,8 +28,6 @@ from themeloom.plans.lineage import cut, spread
 
 #: Words in one hash, hashes in one window.
 K, WINDOW = 3, 2
-#: Items that hold a hash from which on it is stock wording and no hit.
-STOCK_ITEMS = 64
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
     "аеорсухіјѕһԁԛԝвкмнтгАВЕКМНОРСТУХαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧøØłŁđĐıßæÆœŒ",
@@ -206,13 +204,13 @@ def fingerprints(texts: DataFrame, key: str, text: str) -> DataFrame:
     return spread(narrow).mapInArrow(_fingerprint, "id bigint, hash bigint, pos int")
 
 
-def find_leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.4, min_hits: int = 3, stock_items: int | None = STOCK_ITEMS) -> DataFrame:
+def find_leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.4, min_hits: int = 3, stock_items: int | None = None) -> DataFrame:
     """(doc_id, item_id, share, passages) of documents that reproduce at least ``share`` of an item's words in one or two passages.
 
     ``min_hits``: places in an item at which a document must share a kept hash before passages are aligned; 1 is the exact mode, which follows
     every shared span of K + WINDOW - 1 words. A document that reproduces two fifths of 40 words with every sixth of them changed has four or more; on the
     0.1 tables every found pair has at least twelve and the exact mode finds the same pairs. ``stock_items``: hashes that more items hold are stock wording and no hits (the words still count in
-    passages that other hits find); None takes all of them. Ids are expected to be unique; of a repeated id each text counts.
+    passages that other hits find); by default none is. Ids are expected to be unique; of a repeated id each text counts.
 
     Defined cases: null texts and ids, and items of fewer than k words, give no rows; repeated
     rows give repeated results that are then made distinct; empty tables give no rows; other columns are ignored.
