@@ -193,6 +193,18 @@ def test_planted_subjects(spark):
     assert subjects.cluster_documents(df.limit(0)).count() == 0
 
 
+def test_subjects_that_share_their_pairs_of_terms(spark):
+    draw, rows = random.Random(5), []
+    subjects_of = [draw.sample(range(100), 10) for _ in range(60)]  # about 2 700 pairs of terms out of 4 950
+    for d in range(720):
+        rows += [(d, w, 2) for w in subjects_of[d % 60]]
+        rows += [(d, w, 1) for w in draw.sample(range(100, 160), 4)]
+    df = spark.createDataFrame(rows, "doc_id long, w int, n long")
+    assert {tuple(r) for r in subjects.cluster_documents(df).select("doc_id", "rep_id").collect()} == {(d, d % 60) for d in range(720)}
+    report = {r["rep_id"]: r for r in subjects.describe_clusters(df).collect()}
+    assert all(report[k]["size"] == 12 and set(report[k]["top_terms"]) <= set(subjects_of[k]) for k in range(60))
+
+
 def test_small_subject_among_large_ones(spark):
     rng, rows = random.Random(9), []
     for d in range(240):  # large subjects with twelve terms each
