@@ -1,8 +1,10 @@
+import pytest
 from test_models import planted
 
 from pyspark.sql import functions as F
 
-from themeloom.plans import clustering, packed, scoring
+from themeloom.functions import text
+from themeloom.plans import clustering, packed, queries, scoring
 
 WEIGHTS = {0: 0.2, 1: 0.2, 5: 0.3}
 
@@ -52,3 +54,21 @@ def test_exact_has_no_limit_of_its_own(spark):
     for r in clustering.fit_exact(docs, many, n_terms, clustering.ClusterParams(iterations=4, seed=3, initial=4)).assign.where("doc_id < 999").collect():
         found.setdefault(r["k"], set()).add(r["doc_id"] % 3)
     assert all(len(groups) == 1 for groups in found.values())
+
+
+def test_words_are_packed_as_their_counts(spark):
+    texts = [(1, "a", "b b a zz"), (2, "a", ""), (3, "b", None), (4, None, "c a c b b q"), (5, "b", "zz")]
+    docs = spark.createDataFrame(texts, "doc_id long, corpus string, text string").select("doc_id", "corpus", F.lit(0).alias("time_idx"), F.lit(1).alias("k"), text.words(F.col("text")).alias("words"))
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "term string, w long")
+    tf = text.term_frequencies(docs.select("doc_id", F.explode("words").alias("term")), "doc_id").join(vocab, "term")
+    want = packed.pack(docs.drop("words"), tf, 5)
+    got = packed.pack_words(docs, vocab, 5)
+    assert got.schema == want.schema and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_batch_query_does_not_move_words(spark, monkeypatch):
+    """No exchange by document: neither counts by document and term nor documents are grouped."""
+    for name in ("term_frequencies", "sequences"):
+        monkeypatch.setattr(text, name, lambda *_, **__: pytest.fail("counts by document"))
+    monkeypatch.setattr(packed, "pack", lambda *_: pytest.fail("documents from their counts"))
+    assert queries.fit_clusters_batch(spark, "/root/testdata/sf0.001").count() == 100
